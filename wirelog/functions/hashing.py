@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,46 +52,59 @@ def _xorshift(value: Column, bits: int) -> Column:
     return value.bitwiseXOR(F.shiftright(value, bits))
 
 
-def with_murmur3(df: DataFrame, payload: str, out: str, seed: int = 0) -> DataFrame:
-    """Add ``out``: the standard 32-bit hash of a binary column as a signed int.
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def murmur3_32(payload: Column | str, seed: int = 0) -> Column:
+    """The standard 32-bit hash of a binary column as a signed int.
 
     Spark's ``hash`` agrees with the standard on whole 4-byte words but mixes the last
     1-3 bytes differently. So the built-in hashes the aligned prefix, its finalizer is
     undone, the tail is mixed in by the standard rule, and the finalizer runs again.
-    Every step is a column of its own: each refers to the previous one several times, and
-    one nested expression would grow exponentially.
+    Steps use their input several times; each is bound, so that the expression stays linear
+    in size wherever the optimizer moves it.
     """
-    size = F.octet_length(F.col(payload)).cast("bigint")
+    data = as_column(payload)
+    size = F.octet_length(data).cast("bigint")
     tail_start = size - size % 4
 
     def tail_byte(offset: int) -> Column:
-        return F.hex(slice_bytes(payload, tail_start + offset, 1))
+        return F.hex(slice_bytes(data, tail_start + offset, 1))
 
     tail = F.conv(F.concat(tail_byte(2), tail_byte(1), tail_byte(0)), 16, 10).cast("bigint")
-    h, k = F.col("_mm_h"), F.col("_mm_k")
-    prefix_hash = F.hash(F.lit(_chain_seed(seed)), slice_bytes(payload, 0, tail_start))
-    steps = [
-        ("_mm_h", prefix_hash.cast("bigint").bitwiseAND(F.lit(UINT32))),
-        ("_mm_h", _xorshift(h, 16)),
-        ("_mm_h", _mul32(h, pow(MIX2, -1, 2**32))),
-        ("_mm_h", h.bitwiseXOR(F.shiftright(h, 13)).bitwiseXOR(F.shiftright(h, 26))),
-        ("_mm_h", _mul32(h, pow(MIX1, -1, 2**32))),
-        ("_mm_h", _xorshift(h, 16).bitwiseXOR(tail_start)),
-        ("_mm_k", F.coalesce(tail, F.lit(0).cast("bigint"))),
-        ("_mm_k", _mul32(k, C1)),
-        ("_mm_k", F.shiftleft(k, 15).bitwiseOR(F.shiftright(k, 17)).bitwiseAND(F.lit(UINT32))),
-        ("_mm_k", _mul32(k, C2)),
-        ("_mm_h", h.bitwiseXOR(k).bitwiseXOR(size)),
-        ("_mm_h", _xorshift(h, 16)),
-        ("_mm_h", _mul32(h, MIX1)),
-        ("_mm_h", _xorshift(h, 13)),
-        ("_mm_h", _mul32(h, MIX2)),
-        ("_mm_h", _xorshift(h, 16)),
-        (out, to_int32(h)),
-    ]
-    for name, step in steps:
-        df = df.withColumn(name, step)
-    return df.drop("_mm_h", "_mm_k")
+    mixed_tail = _in_steps(
+        F.coalesce(tail, F.lit(0).cast("bigint")),
+        lambda k: _mul32(k, C1),
+        lambda k: F.shiftleft(k, 15).bitwiseOR(F.shiftright(k, 17)).bitwiseAND(F.lit(UINT32)),
+        lambda k: _mul32(k, C2),
+    )
+    prefix_hash = F.hash(F.lit(_chain_seed(seed)), slice_bytes(data, 0, tail_start))
+    return _in_steps(
+        prefix_hash.cast("bigint").bitwiseAND(F.lit(UINT32)),
+        lambda h: _xorshift(h, 16),
+        lambda h: _mul32(h, pow(MIX2, -1, 2**32)),
+        lambda h: h.bitwiseXOR(F.shiftright(h, 13)).bitwiseXOR(F.shiftright(h, 26)),
+        lambda h: _mul32(h, pow(MIX1, -1, 2**32)),
+        lambda h: _xorshift(h, 16).bitwiseXOR(tail_start).bitwiseXOR(mixed_tail).bitwiseXOR(size),
+        lambda h: _xorshift(h, 16),
+        lambda h: _mul32(h, MIX1),
+        lambda h: _xorshift(h, 13),
+        lambda h: _mul32(h, MIX2),
+        lambda h: _xorshift(h, 16),
+        to_int32,
+    )
+
+
+def _in_steps(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    for step in steps:
+        value = _bind(value, step)
+    return value
+
+
+def with_murmur3(df: DataFrame, payload: str, out: str, seed: int = 0) -> DataFrame:
+    return df.withColumn(out, murmur3_32(payload, seed))
 
 
 def java_string_hash(key: Column | str) -> Column:

@@ -30,7 +30,8 @@ def assemble(staged: DataFrame, key: list[str] | None = None, payload: bool = Tr
     aggregates = [
         F.first("first_header").alias("first_header"),
         F.max(F.when(kept, arrival()))["ts"].alias("ts"),
-        F.min("ts").alias("first_ts"),
+        F.min(arrival())["ts"].alias("first_ts"),
+        F.min(arrival())["seq"].alias("first_seq"),
         F.count_if(kept).alias("received"),
         F.count_if(F.col("status") != "late_duplicate").alias("touches"),
         F.count_if(F.col("status") == "late_duplicate").alias("late_duplicates"),
@@ -80,6 +81,7 @@ def _incomplete_messages(assembled: DataFrame, key: list[str]) -> DataFrame:
         *columns,
         "generation",
         "first_ts",
+        "first_seq",
         count.alias("fragment_count"),
         "touches",
         missing_indices(count, F.col("indices")).alias("missing"),

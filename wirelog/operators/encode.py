@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelog.functions.binary import hex_digits, join_tags, latin1_bytes, slice_bytes
-from wirelog.functions.hashing import with_murmur3
+from wirelog.functions.hashing import murmur3_32
 from wirelog.operators.ordering import with_rank
 from wirelog.schemas import (
     ARRIVAL,
@@ -55,11 +55,10 @@ def packetize(
     if room < 1:
         raise ValueError(f"fragment size must exceed {HEADER_SIZE}")
     planned = _planned(messages, room).where(F.col("reason").isNull())
-    hashed = with_murmur3(planned, "payload", "msg_hash")
     last = F.col("fragment_count") - 1
     length = F.octet_length("payload")
 
-    def piece(index: Column) -> Column:
+    def piece(index: Column, digest: Column) -> Column:
         start = index * room
         is_last = index == last
         header = F.unhex(
@@ -70,7 +69,7 @@ def packetize(
                 hex_digits(F.lit(size_field or room), 2),
                 hex_digits(F.col("msg_id"), 4),
                 hex_digits(length, 4),
-                hex_digits(F.col("msg_hash"), 4),
+                hex_digits(digest, 4),
                 hex_digits(F.when(is_last, F.octet_length("_tag_bytes")).otherwise(0), 2),
                 F.lit("0000"),
             )
@@ -81,8 +80,13 @@ def packetize(
             index.cast("int").alias("fragment_index"), F.concat(header, tag_part, body).alias("data")
         )
 
-    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), last), piece)
-    return hashed.withColumn("_piece", F.explode(pieces)).select(
+    indices = F.sequence(F.lit(0).cast("bigint"), last)
+    # The digest is bound outside the inner lambda: one hash per message, not per piece.
+    pieces = F.transform(
+        F.array(murmur3_32("payload")),
+        lambda digest: F.transform(indices, lambda index: piece(index, digest)),
+    )[0]
+    return planned.withColumn("_piece", F.explode(pieces)).select(
         *SENDER, *ARRIVAL, "msg_id", "_piece.fragment_index", "_piece.data"
     )
 

@@ -36,10 +36,13 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], out: str) -> Dat
         Window.unboundedPreceding, -1
     )
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    same_run = pinned["part"] == runs["part"]
+    named = runs.select(
+        F.col("part").alias("_part"),
+        *[F.col(key).alias(f"_{key}") for key in keys],
+        (F.col("_before") - F.col("_start") + 1).alias("_shift"),
+    )
+    same_run = F.col("part") == F.col("_part")
     for key in keys:
-        same_run = same_run & pinned[key].eqNullSafe(runs[key])
-    rank = F.col("_offset") - F.col("_start") + F.col("_before") + 1
-    return pinned.join(
-        runs.select("part", *keys, "_start", "_before"), same_run, "left"
-    ).select(*[pinned[c] for c in df.columns], rank.alias(out))
+        same_run = same_run & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    rank = F.col("_offset") + F.col("_shift")
+    return pinned.join(named, same_run, "left").select(*df.columns, rank.alias(out))
