@@ -370,7 +370,9 @@ def everything(spark, sf_dir):
         X.event_packets(spark, sf_dir).select(*columns),
     )
     capture.write.parquet(path)
-    messages = decode_capture(read_packets(spark, path)).messages
+    fragments_path = scratch_path(spark, "fragments")
+    decoded = decode_capture(read_packets(spark, path), fragments_path=fragments_path)
+    messages = decoded.messages
     origin = F.when(F.col("msg_id").isNull(), "simple").otherwise("fragments")
     return messages.groupBy("listener", origin.alias("origin")).agg(
         F.count(F.lit(1)).alias("messages"),

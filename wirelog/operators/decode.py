@@ -9,27 +9,32 @@ from wirelog.functions.binary import (
     i32,
     slice_bytes,
     split_tags,
-    u8,
     u16,
     utf8_text,
 )
 from wirelog.schemas import ARRIVAL, HEADER_FIELDS, HEADER_SIZE, KNOWN_COMMANDS, SENDER
 
 
+# Version 0, then the packet type.
+COMMAND = bytearray(b"\x00\x00")
+FRAGMENT = bytearray(b"\x00\x01")
+
+
 def _no_tags() -> Column:
     return F.array().cast("array<string>")
 
 
 def packet_kind(data: Column | str = "data") -> Column:
     """simple, command, fragment, invalid_version, invalid_type or decode_error."""
-    version, kind = u8(data, 0), u8(data, 1)
+    first, both = slice_bytes(data, 0, 1), slice_bytes(data, 0, 2)
+    size = F.octet_length(data)
     return (
-        F.when(version.isNull(), "decode_error")
-        .when(version > 31, "simple")
-        .when(version > 0, "invalid_version")
-        .when(kind.isNull(), "decode_error")
-        .when(kind == 0, "command")
-        .when(kind == 1, "fragment")
+        F.when(size == 0, "decode_error")
+        .when(first > F.lit(bytearray(b"\x1f")), "simple")
+        .when(first > F.lit(bytearray(b"\x00")), "invalid_version")
+        .when(size == 1, "decode_error")
+        .when(both == F.lit(COMMAND), "command")
+        .when(both == F.lit(FRAGMENT), "fragment")
         .otherwise("invalid_type")
     )
 
@@ -38,13 +43,14 @@ def classify_packets(packets: DataFrame) -> DataFrame:
     return packets.withColumn("kind", packet_kind())
 
 
-def _of_kind(packets: DataFrame, kind: str) -> DataFrame:
-    return packets.where(packet_kind() == kind)
+def _starting(packets: DataFrame, prefix: bytearray) -> DataFrame:
+    """Datagrams of one boxed kind, by a comparison of their first two bytes."""
+    return packets.where(slice_bytes("data", 0, 2) == F.lit(prefix))
 
 
 def simple_messages(packets: DataFrame) -> DataFrame:
     """Unboxed datagrams: the whole packet is the payload."""
-    return _of_kind(packets, "simple").select(
+    return packets.where(slice_bytes("data", 0, 1) > F.lit(bytearray(b"\x1f"))).select(
         "listener",
         F.lit("udp").alias("transport"),
         "ts",
@@ -63,7 +69,7 @@ def parse_commands(packets: DataFrame) -> DataFrame:
     long_enough = F.octet_length("data") >= 6
     word = F.upper(utf8_text(slice_bytes("data", 2, 4)))
     return (
-        _of_kind(packets, "command")
+        _starting(packets, COMMAND)
         .withColumn("command", F.when(long_enough, word))
         .withColumn(
             "trail",
@@ -77,15 +83,17 @@ def parse_commands(packets: DataFrame) -> DataFrame:
 def parse_fragments(packets: DataFrame) -> DataFrame:
     """Header fields of fragment datagrams plus ``reason``, NULL where the header is valid."""
     size = F.octet_length("data")
-    parsed = (
-        _of_kind(packets, "fragment")
-        .withColumn("fragment_count", u16("data", 2))
-        .withColumn("fragment_index", u16("data", 4))
-        .withColumn("fragment_size", u16("data", 6))
-        .withColumn("msg_id", i32("data", 8))
-        .withColumn("total_length", i32("data", 12))
-        .withColumn("msg_hash", i32("data", 16))
-        .withColumn("tags_length", u16("data", 20))
+    parsed = _starting(packets, FRAGMENT).select(
+        *SENDER,
+        *ARRIVAL,
+        "data",
+        u16("data", 2).alias("fragment_count"),
+        u16("data", 4).alias("fragment_index"),
+        u16("data", 6).alias("fragment_size"),
+        i32("data", 8).alias("msg_id"),
+        i32("data", 12).alias("total_length"),
+        i32("data", 16).alias("msg_hash"),
+        u16("data", 20).alias("tags_length"),
     )
     reason = (
         F.when(size < HEADER_SIZE, "short_header")
@@ -142,17 +150,23 @@ def split_rejects(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_single_multi(fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Single-fragment messages need no reassembly, so they never reach a shuffle."""
-    alone = F.col("fragment_count") == 1
+    """Single-fragment messages need no reassembly, so they never reach a shuffle. On a
+    stored table with an ``alone`` partition column each side reads its own files."""
+    stored = "alone" in fragments.columns
+    alone = F.col("alone") if stored else F.col("fragment_count") == 1
     return fragments.where(alone), fragments.where(~alone)
 
 
 def message_key(mode: str = "sender") -> list[str]:
-    """Grouping columns of one message; ``port_only`` ignores the sender's host."""
+    """Grouping columns of one message; ``port_only`` ignores the sender's host.
+
+    Numbers come first: sorts compare a fixed-width prefix of the first column, and the id
+    tells most messages apart where a listener's name tells none.
+    """
     if mode == "sender":
-        return [*SENDER, "msg_id"]
+        return ["msg_id", "sender_port", "sender_host", "listener"]
     if mode == "port_only":
-        return ["listener", "sender_port", "msg_id"]
+        return ["msg_id", "sender_port", "listener"]
     raise ValueError(f"unknown key mode {mode!r}")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wirelog.functions.binary import log2_bucket
 from wirelog.functions.hashing import with_murmur3
-from wirelog.operators.decode import message_key
+from wirelog.operators.decode import message_key, split_single_multi
 from wirelog.operators.fragment_status import arrival, with_status, with_status_spread
 from wirelog.schemas import DEFAULT_EXPIRE
 
@@ -33,14 +33,11 @@ def assemble(staged: DataFrame, key: list[str] | None = None, payload: bool = Tr
         F.min(arrival())["ts"].alias("first_ts"),
         F.min(arrival())["seq"].alias("first_seq"),
         F.count_if(kept).alias("received"),
-        F.count_if(F.col("status") != "late_duplicate").alias("touches"),
+        F.sum(F.when(F.col("status") != "late_duplicate", F.col("weight"))).alias("touches"),
         F.count_if(F.col("status") == "late_duplicate").alias("late_duplicates"),
-        F.max_by(
-            "tags",
-            F.when(
-                F.col("status").isin("kept", "superseded") & F.col("tags").isNotNull(), arrival()
-            ),
-        ).alias("tags"),
+        F.max_by("tags", F.when(F.col("status").isin("kept", "superseded"), F.col("tags_at"))).alias(
+            "tags"
+        ),
         F.collect_list(F.when(kept, F.col("fragment_index"))).alias("indices"),
     ]
     if payload:
@@ -88,6 +85,9 @@ def _incomplete_messages(assembled: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+BROADCAST_KEYS = 10000
+
+
 @dataclass(frozen=True)
 class Reassembly:
     """Outputs of one reassembly; each is lazy and reads only the columns it needs."""
@@ -102,10 +102,8 @@ class Reassembly:
 def find_hot_keys(
     fragments: DataFrame, min_rows: int, key: list[str] | None = None
 ) -> DataFrame:
-    """Keys with more than ``min_rows`` fragments; combined before the shuffle.
-
-    At most (rows / min_rows) keys can qualify, so the result is small by construction.
-    """
+    """Keys with more than ``min_rows`` fragments; reads four narrow columns of a stored
+    ``fragments`` table and combines before the shuffle."""
     key = key or message_key()
     counted = fragments.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
     return counted.where(F.col("_rows") > min_rows).select(*key)
@@ -114,15 +112,26 @@ def find_hot_keys(
 def _staged_parts(
     fragments: DataFrame, expire: str, key: list[str], hot_keys: DataFrame | None
 ) -> list[DataFrame]:
-    if hot_keys is None:
+    hot = None if hot_keys is None else _sized(hot_keys.select(*key))
+    if hot is None:
         return [with_status(fragments, expire, key)]
-    hot = F.broadcast(hot_keys)
     return [
         with_status(fragments.join(hot, key, "left_anti"), expire, key),
         with_status_spread(fragments.join(hot, key, "left_semi"), expire, key),
     ]
 
 
+def _sized(hot_keys: DataFrame) -> DataFrame | None:
+    """The keys, computed once: broadcast when they are few, an ordinary join when many,
+    None when there are none."""
+    few = hot_keys.limit(BROADCAST_KEYS + 1).collect()
+    if not few:
+        return None
+    if len(few) > BROADCAST_KEYS:
+        return hot_keys
+    return F.broadcast(hot_keys.sparkSession.createDataFrame(few, hot_keys.schema))
+
+
 def _union(parts) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -188,8 +197,9 @@ def verify_checksum(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def reassemble(fragments: DataFrame, **options) -> DataFrame:
     """Single and multi-fragment messages with their checksum verdict, before filtering."""
-    multi = defragment(fragments.where(F.col("fragment_count") > 1), **options).messages
-    return with_checksum(multi.unionByName(single_messages(fragments)))
+    single, several = split_single_multi(fragments)
+    multi = defragment(several, **options).messages
+    return with_checksum(multi.unionByName(single_messages(single)))
 
 
 def missing_fragments(incomplete: DataFrame) -> DataFrame:

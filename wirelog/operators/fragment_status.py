@@ -1,9 +1,9 @@
 """What becomes of each fragment: its generation, its first header and its status.
 
-``with_status`` is the usual way: one exchange, on the message key, and three sorts.
+``with_status`` is the usual way: one exchange, on the message key, and two sorts.
 ``with_status_spread`` gives the same columns for keys with very many rows: such a key is
-never brought together, its rows stay spread over time buckets and salts, and what must be
-known about all of them comes from small tables aggregated before any shuffle.
+never brought together, its rows stay spread over time buckets, and what must be known
+about all of them comes from small tables aggregated before any shuffle.
 """
 
 from __future__ import annotations
@@ -16,13 +16,17 @@ from wirelog.schemas import ARRIVAL, DEFAULT_EXPIRE
 from wirelog.session import duration_us
 
 HEADER = ["fragment_count", "fragment_size", "msg_hash", "total_length"]
-SALTS = 32
 
 
 def arrival() -> Column:
     return F.struct(*ARRIVAL)
 
 
+def tags_arrival() -> Column:
+    """When the tags came; NULL for a fragment without any."""
+    return F.when(F.col("tags").isNotNull(), arrival()).alias("tags_at")
+
+
 def with_payload_length(fragments: DataFrame) -> DataFrame:
     if "payload_length" in fragments.columns:
         return fragments
@@ -32,29 +36,24 @@ def with_payload_length(fragments: DataFrame) -> DataFrame:
 def with_generation(
     fragments: DataFrame, expire: str = DEFAULT_EXPIRE, key: list[str] | None = None
 ) -> DataFrame:
-    """Number the attempts at one message: ``expire`` without a touch starts a new one."""
+    """Number the attempts at one message: ``expire`` without a touch starts a new one.
+
+    ``first_header`` is that of the generation's first arrival, valid or not; it fixes
+    count, size, hash and length for all. Both share one window and one sort.
+    """
     by_arrival = Window.partitionBy(*(key or message_key())).orderBy(*ARRIVAL)
     micros = F.unix_micros("ts")
     idle = micros - F.lag(micros).over(by_arrival)
-    return (
-        fragments.withColumn("_starts", F.coalesce(idle >= duration_us(expire), F.lit(True)))
-        .withColumn("generation", F.sum(F.col("_starts").cast("int")).over(by_arrival) - 1)
-        .withColumn("generation", F.col("generation").cast("int"))
+    starts = F.col("_starts")
+    header = F.when(starts, F.struct(*HEADER))
+    marked = fragments.select("*", F.coalesce(idle >= duration_us(expire), F.lit(True)).alias("_starts"))
+    return marked.select(
+        *fragments.columns,
+        (F.sum(starts.cast("int")).over(by_arrival) - 1).cast("int").alias("generation"),
+        F.last(header, ignorenulls=True).over(by_arrival).alias("first_header"),
     )
 
 
-def with_first_header(fragments: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """The first arrival of a generation fixes count, size, hash and length for all.
-
-    Runs over the same window as :func:`with_generation`, so it adds no sort.
-    """
-    by_arrival = Window.partitionBy(*(key or message_key())).orderBy(*ARRIVAL)
-    header = F.when(F.col("_starts"), F.struct(*HEADER))
-    return fragments.withColumn(
-        "first_header", F.last(header, ignorenulls=True).over(by_arrival)
-    ).drop("_starts")
-
-
 def fragment_is_valid() -> Column:
     """Agrees with the first header, and has the length its place in the message demands."""
     first = F.col("first_header")
@@ -89,27 +88,29 @@ def with_status(
     """
     key = key or message_key()
     group = [*key, "generation"]
-    staged = with_first_header(
-        with_generation(with_payload_length(fragments), expire, key), key
-    ).withColumn("valid", fragment_is_valid())
+    staged = with_generation(with_payload_length(fragments), expire, key)
+    staged = staged.withColumn("valid", fragment_is_valid())
+    columns = staged.columns
     same_index = Window.partitionBy(*group, "valid", "fragment_index").orderBy(*ARRIVAL)
-    by_arrival = Window.partitionBy(*group).orderBy(*ARRIVAL)
-    whole = by_arrival.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    new_index = F.col("valid") & F.col("_is_first")
-    staged = (
-        staged.withColumn("_is_first", F.row_number().over(same_index) == 1)
-        .withColumn("_next", F.lead(arrival()).over(same_index))
-        .withColumn("_distinct", F.sum(new_index.cast("int")).over(by_arrival))
-        .withColumn(
-            "_completes", new_index & (F.col("_distinct") == F.col("first_header.fragment_count"))
-        )
-        .withColumn("_done", F.max(F.when(F.col("_completes"), arrival())).over(whole))
+    # Ordered by index within the generation already, so this one sorts nothing.
+    generation = Window.partitionBy(*group)
+    opens_index = F.col("valid") & (F.col("_nth") == 1)
+    staged = staged.select(
+        "*",
+        F.row_number().over(same_index).alias("_nth"),
+        F.lead(arrival()).over(same_index).alias("_next"),
+    ).select(
+        *columns,
+        "_next",
+        F.count_if(opens_index).over(generation).alias("_distinct"),
+        F.max(F.when(opens_index, arrival())).over(generation).alias("_last_new"),
     )
-    done = F.col("_done")
+    complete = F.col("_distinct") == F.col("first_header.fragment_count")
+    done = F.when(complete, F.col("_last_new"))
     replaced = F.col("_next").isNotNull() & (done.isNull() | (F.col("_next") <= done))
-    return staged.withColumn("status", _status(done, replaced)).drop(
-        "_is_first", "_next", "_distinct", "_completes", "_done", "valid"
-    )
+    kept = [c for c in columns if c != "valid"]
+    weight = F.lit(1).cast("bigint").alias("weight")
+    return staged.select(*kept, _status(done, replaced).alias("status"), weight, tags_arrival())
 
 
 def time_bucket(width_us: int) -> Column:
@@ -118,17 +119,15 @@ def time_bucket(width_us: int) -> Column:
     return micros - F.pmod(micros, F.lit(width_us))
 
 
-def _salted_join(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Left join that cuts every key of ``rows`` in SALTS parts and repeats ``small``."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*ARRIVAL), F.lit(SALTS)))
-    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    return salted.join(small.withColumn("_salt", salts), [*on, "_salt"], "left").drop("_salt")
-
-
 def with_status_spread(
     fragments: DataFrame, expire: str = DEFAULT_EXPIRE, key: list[str] | None = None
 ) -> DataFrame:
-    """:func:`with_status` for crowded keys."""
+    """:func:`with_status` for crowded keys, with ``superseded`` rows folded into the
+    ``kept`` row of their index (its ``weight`` counts them).
+
+    Rows meet what is known about their key in joins, whose skewed partitions adaptive
+    execution splits; everything else is an aggregate that combines before its shuffle.
+    """
     key = key or message_key()
     width = duration_us(expire)
     rows = with_payload_length(fragments).withColumn("_bucket", time_bucket(width))
@@ -139,27 +138,25 @@ def with_status_spread(
     )
     in_time = Window.partitionBy(*key).orderBy("_bucket")
     idle = F.unix_micros("_from") - F.unix_micros(F.lag("_to").over(in_time))
-    placed = (
-        buckets.withColumn("_starts", F.coalesce(idle >= width, F.lit(True)))
-        .withColumn("generation", (F.sum(F.col("_starts").cast("int")).over(in_time) - 1).cast("int"))
-        .withColumn(
-            "first_header",
-            F.last(F.when(F.col("_starts"), F.col("_header")), ignorenulls=True).over(in_time),
-        )
-        .select(*key, "_bucket", "generation", "first_header")
+    starts = F.col("_starts")
+    placed = buckets.select("*", F.coalesce(idle >= width, F.lit(True)).alias("_starts")).select(
+        *key,
+        "_bucket",
+        (F.sum(starts.cast("int")).over(in_time) - 1).cast("int").alias("generation"),
+        F.last(F.when(starts, F.col("_header")), ignorenulls=True)
+        .over(in_time)
+        .alias("first_header"),
     )
-    staged = _salted_join(rows, placed, [*key, "_bucket"]).withColumn("valid", fragment_is_valid())
+    staged = rows.join(placed, [*key, "_bucket"]).withColumn("valid", fragment_is_valid())
     group = [*key, "generation"]
-    per_index = (
+    count = F.first("first_header.fragment_count")
+    first_of_index = (
         staged.where("valid")
         .groupBy(*group, "fragment_index")
-        .agg(
-            F.min(arrival()).alias("_first"),
-            F.first("first_header.fragment_count").alias("_count"),
-        )
+        .agg(F.min(arrival()).alias("_first"), count.alias("_count"))
     )
     done = (
-        per_index.groupBy(*group)
+        first_of_index.groupBy(*group)
         .agg(
             F.max("_first").alias("_done"),
             F.count(F.lit(1)).alias("_distinct"),
@@ -168,13 +165,24 @@ def with_status_spread(
         .where(F.col("_distinct") == F.col("_count"))
         .select(*group, "_done")
     )
-    timed = _salted_join(staged, done, group)
-    counts = F.col("valid") & F.coalesce(arrival() <= F.col("_done"), F.lit(True))
-    last = timed.where(counts).groupBy(*group, "fragment_index").agg(
-        F.max(arrival()).alias("_last")
+    status = _status(F.col("_done"), F.lit(False))
+    judged = (
+        staged.join(done, group, "left").withColumn("status", status).drop("_bucket", "_done", "valid")
     )
-    final = _salted_join(timed, last, [*group, "fragment_index"])
-    replaced = arrival() < F.col("_last")
-    return final.withColumn("status", _status(F.col("_done"), replaced)).drop(
-        "_bucket", "_done", "_last", "valid"
+    columns = [*judged.columns, "weight", "tags_at"]
+    weighed = judged.select("*", F.lit(1).cast("bigint").alias("weight"), tags_arrival())
+    apart = [*group, "fragment_index", "first_header", "tags", "tags_at", "weight"]
+    rest = [c for c in columns if c not in apart]
+    kept = (
+        weighed.where("status = 'kept'")
+        .groupBy(*group, "fragment_index")
+        .agg(
+            F.first("first_header").alias("first_header"),
+            F.max_by("tags", "tags_at").alias("tags"),
+            F.max("tags_at").alias("tags_at"),
+            F.sum("weight").alias("weight"),
+            F.max_by(F.struct(*rest), arrival()).alias("_last"),
+        )
+        .select(*apart, "_last.*")
     )
+    return weighed.where("status <> 'kept'").unionByName(kept)

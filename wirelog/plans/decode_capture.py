@@ -13,6 +13,7 @@ from wirelog.operators.decode import (
     packet_rejects,
     parse_commands,
     simple_messages,
+    split_single_multi,
     valid_fragments,
 )
 from wirelog.operators.defrag import (
@@ -29,6 +30,23 @@ from wirelog.operators.stats import statistics
 from wirelog.schemas import DEFAULT_EXPIRE
 
 
+# Several times the largest fragment count of one message.
+HOT_KEY_ROWS = 1_000_000
+
+
+def store_fragments(packets: DataFrame, path: str) -> DataFrame:
+    """The ``fragments`` table as Parquet, and back as a DataFrame.
+
+    Header fields become columns of their own, so that passes which need no payload read
+    none. Single-fragment messages lie in a directory of their own: reassembly and the path
+    around it each read their part only.
+    """
+    alone = F.col("fragment_count") == 1
+    rows = valid_fragments(packets).withColumn("alone", alone)
+    rows.write.partitionBy("alone").parquet(path)
+    return packets.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Capture:
     """Lazy tables of one decoded capture."""
@@ -45,20 +63,25 @@ def decode_capture(
     packets: DataFrame,
     expire: str = DEFAULT_EXPIRE,
     key_mode: str = "sender",
-    hot_key_rows: int | None = None,
+    hot_key_rows: int | None = HOT_KEY_ROWS,
+    fragments_path: str | None = None,
 ) -> Capture:
     """Decode everything in ``packets``.
 
-    ``hot_key_rows`` turns on a first pass over the headers that finds message keys with
-    more fragments than that; only those take the spread path. Best run on a stored
-    ``fragments`` table, where that pass reads four narrow columns.
+    With ``fragments_path`` the parsed fragments are stored there first, see
+    :func:`store_fragments`: the raw capture is then parsed once, however many of the tables
+    are used. A pass over four narrow columns finds message keys with more than
+    ``hot_key_rows`` fragments (None: skip it); only those take the spread path.
     """
     key = message_key(key_mode)
-    fragments = valid_fragments(packets)
-    several = fragments.where(F.col("fragment_count") > 1)
+    if fragments_path:
+        fragments = store_fragments(packets, fragments_path)
+    else:
+        fragments = valid_fragments(packets)
+    single, several = split_single_multi(fragments)
     hot = find_hot_keys(several, hot_key_rows, key) if hot_key_rows else None
     multi = defragment(several, expire, key, hot)
-    checked = with_checksum(multi.messages.unionByName(single_messages(fragments)))
+    checked = with_checksum(multi.messages.unionByName(single_messages(single)))
     whole = checked.where("checksum_ok")
     rejects = [
         packet_rejects(packets),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wirelog.operators.compat import NAMES, OUTCOME, outcome
-from wirelog.operators.decode import message_key
 from wirelog.operators.message_state import PartialMessage
 from wirelog.schemas import DEFAULT_EXPIRE, HEADER_FIELDS, SENDER
 from wirelog.session import duration_us
@@ -104,7 +103,7 @@ def defragment_stream(
     until the lease ends, so that repeats are recognised; ``compat`` drops it, and a repeat
     opens a new message. Arrival order is restored within a micro-batch only.
     """
-    key = message_key()
+    key = [*SENDER, "msg_id"]
     columns = [*key, *[c for c in HEADER_FIELDS if c != "msg_id"], "tags", "payload", "ts", "seq"]
     prepared = fragments.where(F.col("fragment_count") > 1).withWatermark("ts", watermark_delay)
     return (
@@ -147,7 +146,7 @@ def defragment_session(
     The rules are those of the batch operator, written as array functions over the
     fragments of the session. Each step is linear in their number but for the sorts.
     """
-    key = message_key()
+    key = [*SENDER, "msg_id"]
     entry = F.struct(
         "ts", "seq", "fragment_index", "fragment_count", "fragment_size", "total_length",
         "msg_hash", "tags", "payload",
