@@ -53,3 +53,7 @@ DEFAULT_IDS_PER_PORT = 10
 DEFAULT_MAX_HOLE = 10
 DEFAULT_MAX_PARALLELISM = 16386
 KNOWN_COMMANDS = ["KILL", "PING", "STAT", "ENVI"]
+
+# How far behind the newest packet a packet may arrive in a stream. Spark drops what comes
+# later, and with no tolerance also what shares its instant with the end of a micro-batch.
+DEFAULT_DISORDER = "1 second"

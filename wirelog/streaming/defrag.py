@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wirelog.operators.compat import NAMES, OUTCOME, outcome
 from wirelog.operators.message_state import PartialMessage
-from wirelog.schemas import DEFAULT_EXPIRE, HEADER_FIELDS, SENDER
+from wirelog.schemas import DEFAULT_DISORDER, DEFAULT_EXPIRE, HEADER_FIELDS, SENDER
 from wirelog.session import duration_us
 
 STATE = (
@@ -93,7 +93,7 @@ def _step(expire_us: int, compat: bool):
 def defragment_stream(
     fragments: DataFrame,
     expire: str = DEFAULT_EXPIRE,
-    watermark_delay: str = "0 seconds",
+    watermark_delay: str = DEFAULT_DISORDER,
     compat: bool = False,
 ) -> DataFrame:
     """Low latency: a message leaves with the fragment that completes it.
@@ -139,7 +139,7 @@ def _moment(x: Column) -> Column:
 
 
 def defragment_session(
-    fragments: DataFrame, expire: str = DEFAULT_EXPIRE, watermark_delay: str = "0 seconds"
+    fragments: DataFrame, expire: str = DEFAULT_EXPIRE, watermark_delay: str = DEFAULT_DISORDER
 ) -> DataFrame:
     """Built-ins only: one row per generation, when its session closes.
 

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wirelog.operators.id_state import IdMemory, observe, remaining_holes
-from wirelog.schemas import DEFAULT_IDLE, DEFAULT_IDS_PER_PORT, DEFAULT_MAX_HOLE, SENDER
+from wirelog.schemas import (
+    DEFAULT_DISORDER,
+    DEFAULT_IDLE,
+    DEFAULT_IDS_PER_PORT,
+    DEFAULT_MAX_HOLE,
+    SENDER,
+)
 from wirelog.session import duration_us
 
 STATE = "lo bigint, hi bigint, recent array<bigint>, epoch int, last_us bigint"
@@ -67,7 +73,7 @@ def holes_stream(
     idle: str = DEFAULT_IDLE,
     ids_per_port: int = DEFAULT_IDS_PER_PORT,
     max_hole: int = DEFAULT_MAX_HOLE,
-    watermark_delay: str = "0 seconds",
+    watermark_delay: str = DEFAULT_DISORDER,
 ) -> DataFrame:
     """Holes pushed out by arrivals (``arrival``) and left at the end of a lease
     (``lease_end``), as they are found."""

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from wirelog.operators.decode import classify_packets
 from wirelog.operators.stats import packet_counters
+from wirelog.schemas import DEFAULT_DISORDER
 from wirelog.session import duration_us
 
 RATE_WINDOWS = ("1 minute", "5 minutes", "15 minutes")
 
 
 def stats_stream(
-    packets: DataFrame, window: str | None = None, watermark_delay: str = "0 seconds"
+    packets: DataFrame, window: str | None = None, watermark_delay: str = DEFAULT_DISORDER
 ) -> DataFrame:
     """Counters per listener, running (update mode) or per tumbling window (append mode)."""
     classified = classify_packets(packets)
@@ -29,7 +30,7 @@ def stats_stream(
 
 
 def rate(
-    routed: DataFrame, window: str, slide: str = "1 minute", watermark_delay: str = "0 seconds"
+    routed: DataFrame, window: str, slide: str = "1 minute", watermark_delay: str = DEFAULT_DISORDER
 ) -> DataFrame:
     """Messages per topic and second over sliding windows.
 
