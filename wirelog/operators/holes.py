@@ -20,7 +20,7 @@ from wirelog.schemas import (
 )
 from wirelog.session import duration_us
 
-ID_BUCKET = 65536
+ID_BUCKET = 4096
 
 
 def _check(max_hole: int) -> None:
@@ -39,8 +39,15 @@ def new_message_ids(fragments: DataFrame, generations: DataFrame) -> DataFrame:
     return single.select(*columns).unionByName(multi.select(*columns))
 
 
-def _hole(after: Column, before: Column) -> Column:
-    return before.cast("bigint") - after.cast("bigint") - 1
+def _small_holes(gaps: Column, max_hole: int) -> Column:
+    return F.filter(gaps, lambda gap: gap["hole_size"].between(1, max_hole))
+
+
+def _gap(after: Column, before: Column) -> Column:
+    size = before.cast("bigint") - after.cast("bigint") - 1
+    return F.struct(
+        after.alias("after_id"), before.alias("before_id"), size.alias("hole_size")
+    )
 
 
 def gaps_exact(
@@ -48,32 +55,32 @@ def gaps_exact(
 ) -> DataFrame:
     """Runs of missing ids between neighbours, up to ``max_hole`` long.
 
-    Ids are cut in buckets of ``bucket`` values, so no group exceeds that many rows once
-    duplicates are gone (they are combined before the shuffle). Holes between buckets come
-    from a table with one row per used bucket: at most 2^32 / ``bucket`` per sender.
+    Ids are cut in buckets of ``bucket`` values. A bucket's set of ids is built before the
+    shuffle, so neither a busy sender nor many copies of an id make a group larger than
+    that. Holes across buckets come from the second shuffle: one row per used bucket, at
+    most 2^32 / ``bucket`` per sender, with the holes found so far.
     """
     _check(max_hole)
-    distinct = ids.select(*SENDER, "msg_id").distinct()
     whole = F.col("msg_id").cast("bigint")
-    bucketed = distinct.withColumn("_bucket", whole - F.pmod(whole, F.lit(bucket)))
-    in_bucket = Window.partitionBy(*SENDER, "_bucket").orderBy("msg_id")
-    stepped = bucketed.withColumn("_next", F.lead("msg_id").over(in_bucket)).withColumn(
-        "_first", F.first("msg_id").over(in_bucket)
-    )
-    inside = stepped.where(F.col("_next").isNotNull()).select(
-        *SENDER, F.col("msg_id").alias("after_id"), F.col("_next").alias("before_id")
+    present = (
+        ids.select(*SENDER, "msg_id", (whole - F.pmod(whole, F.lit(bucket))).alias("_bucket"))
+        .groupBy(*SENDER, "_bucket")
+        .agg(F.array_sort(F.collect_set("msg_id")).alias("_ids"))
     )
-    by_bucket = Window.partitionBy(*SENDER).orderBy("_bucket")
-    across = (
-        stepped.where(F.col("_next").isNull())
-        .withColumn("before_id", F.lead("_first").over(by_bucket))
-        .select(*SENDER, F.col("msg_id").alias("after_id"), "before_id")
+    neighbours = F.transform("_ids", lambda x, at: _gap(x, F.get(F.col("_ids"), at + 1)))
+    per_bucket = present.select(
+        *SENDER,
+        "_bucket",
+        F.get("_ids", F.lit(0)).alias("_first"),
+        F.element_at("_ids", -1).alias("_last"),
+        _small_holes(neighbours, max_hole).alias("_inside"),
     )
-    size = _hole(F.col("after_id"), F.col("before_id"))
+    following = F.lead("_first").over(Window.partitionBy(*SENDER).orderBy("_bucket"))
+    across = _small_holes(F.array(_gap(F.col("_last"), F.col("_following"))), max_hole)
     return (
-        inside.unionByName(across)
-        .withColumn("hole_size", size)
-        .where(F.col("hole_size").between(1, max_hole))
+        per_bucket.withColumn("_following", following)
+        .select(*SENDER, F.explode(F.concat("_inside", across)).alias("_gap"))
+        .select(*SENDER, "_gap.*")
     )
 
 
@@ -129,7 +136,7 @@ def gaps_online(
     of the ``ids_per_port`` remembered ids out counts the hole above the pushed-out id.
     Depends on arrival order; :func:`gaps_exact` gives the true loss."""
     _check(max_hole)
-    found = scan_ids(ids, idle, ids_per_port, max_hole)
+    found = scan_ids(ids, idle, ids_per_port, max_hole, every_arrival=False)
     return found.where("kind = 'arrival' and holes > 0").drop("kind")
 
 
@@ -141,7 +148,7 @@ def gaps_at_expiry(
 ) -> DataFrame:
     """Holes still remembered when a sender's lease ends; counted apart from the others."""
     _check(max_hole)
-    found = scan_ids(ids, idle, ids_per_port, max_hole)
+    found = scan_ids(ids, idle, ids_per_port, max_hole, every_arrival=False)
     return found.where("kind = 'lease_end' and holes > 0").select(*SENDER, "lease", "holes")
 
 

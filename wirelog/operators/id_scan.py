@@ -96,18 +96,24 @@ def describe(idle_us: int, capacity: int, max_hole: int):
         memory, futures = IdMemory(), Futures(capacity, max_hole)
         part = first_us = last_us = lease = 0
         for batch in batches:
-            for sender, part, msg_id, us, _ in _rows(batch):
-                if current is None:
-                    first, first_us = sender, us
-                elif sender != current:
-                    memory, lease, futures = IdMemory(), 0, None
-                elif us - last_us >= idle_us:
+            rows = list(_rows(batch))
+            turns = [at for at, row in enumerate(rows) if row[0] != (rows[at - 1][0] if at else current)]
+            if turns and current is None:
+                first, part, first_us = rows[0][0], rows[0][1], rows[0][3]
+                current, last_us, turns = first, first_us, turns[1:]
+            if turns:
+                # A sender that ends inside the partition needs no description.
+                current, memory, lease, futures = rows[turns[-1]][0], IdMemory(), 0, None
+                rows = rows[turns[-1] :]
+                last_us = rows[0][3]
+            for _, _, msg_id, us, _ in rows:
+                if us - last_us >= idle_us:
                     memory, lease, futures = IdMemory(), lease + 1, None
                 if futures is None:
                     observe(memory, msg_id, capacity, max_hole)
                 else:
                     futures.add(msg_id)
-                current, last_us = sender, us
+                last_us = us
         if current is None:
             return
         if futures is not None:
@@ -172,8 +178,15 @@ def chain(idle_us: int, capacity: int, max_hole: int):
     return run
 
 
-def track(idle_us: int, capacity: int, max_hole: int, starts: dict, continuing: frozenset):
-    """Step 3: one row per arrival, and one where a lease ends."""
+def track(
+    idle_us: int,
+    capacity: int,
+    max_hole: int,
+    every: bool,
+    starts: dict,
+    continuing: frozenset,
+):
+    """Step 3: one row per arrival and one where a lease ends, or those with holes only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, memory, lease, last_us, part = None, IdMemory(), 0, 0, None
@@ -196,8 +209,9 @@ def track(idle_us: int, capacity: int, max_hole: int, starts: dict, continuing:
                     memory, lease = IdMemory(), lease + 1
                 holes = observe(memory, msg_id, capacity, max_hole)
                 current, last_us = sender, us
-                row = [*sender, msg_id, us, seq, "arrival", lease, memory.epoch, holes]
-                found.append(row)
+                if every or holes:
+                    row = [*sender, msg_id, us, seq, "arrival", lease, memory.epoch, holes]
+                    found.append(row)
             yield _frame(found, TRACKED)
         if current is not None and part not in continuing:
             yield _frame([lease_end()], TRACKED)
@@ -205,9 +219,12 @@ def track(idle_us: int, capacity: int, max_hole: int, starts: dict, continuing:
     return run
 
 
-def scan_ids(ids: DataFrame, idle: str, capacity: int, max_hole: int) -> DataFrame:
+def scan_ids(
+    ids: DataFrame, idle: str, capacity: int, max_hole: int, every_arrival: bool = True
+) -> DataFrame:
     """Every arrival with its lease, epoch and the hole it pushed out (``kind`` is
-    ``arrival``), and every end of a lease with the holes left then (``lease_end``)."""
+    ``arrival``), and every end of a lease with the holes left then (``lease_end``).
+    Without ``every_arrival`` only the arrivals that pushed out a hole."""
     if capacity < 1:
         raise ValueError(f"insufficient capacity {capacity}")
     settings = (duration_us(idle), capacity, max_hole)
@@ -223,7 +240,7 @@ def scan_ids(ids: DataFrame, idle: str, capacity: int, max_hole: int) -> DataFra
         if row.memory is not None:
             starts[row.part] = (_unpack(row.memory.asDict(), row.epoch), row.lease, row.last_us)
     tracked = pinned.mapInPandas(
-        track(*settings, starts, frozenset(continuing)), _ddl(TRACKED)
+        track(*settings, every_arrival, starts, frozenset(continuing)), _ddl(TRACKED)
     )
     return tracked.withColumn("ts", F.timestamp_micros("us")).select(
         *SENDER, "msg_id", *ARRIVAL, "kind", "lease", "epoch", "holes"
