@@ -109,16 +109,19 @@ def with_murmur3(df: DataFrame, payload: str, out: str, seed: int = 0) -> DataFr
 
 def java_string_hash(key: Column | str) -> Column:
     """``String.hashCode``: base-31 polynomial over UTF-16 units, wrapped to a signed int."""
-    units = F.encode(as_column(key), "UTF-16BE")
-    digits = F.regexp_extract_all(F.hex(units), F.lit("...."), F.lit(0))
-    wrapped = F.aggregate(
-        digits,
-        F.lit(0).cast("bigint"),
-        lambda acc, unit: (acc * 31 + F.conv(unit, 16, 10).cast("bigint")).bitwiseAND(
-            F.lit(UINT32)
-        ),
-    )
-    return to_int32(wrapped)
+
+    def add(acc: Column, unit: Column) -> Column:
+        return (acc * 31 + unit).bitwiseAND(F.lit(UINT32))
+
+    def add_character(acc: Column, character: Column) -> Column:
+        code = F.ascii(character).cast("bigint")  # the whole code point
+        above = code - 0x10000
+        high = F.shiftright(above, 10) + 0xD800
+        low = above.bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(above < 0, add(acc, code)).otherwise(add(add(acc, high), low))
+
+    characters = F.split(as_column(key), "")
+    return to_int32(F.aggregate(characters, F.lit(0).cast("bigint"), add_character))
 
 
 def key_group_partition(

@@ -169,13 +169,14 @@ def with_status_spread(
     judged = (
         staged.join(done, group, "left").withColumn("status", status).drop("_bucket", "_done", "valid")
     )
-    columns = [*judged.columns, "weight", "tags_at"]
-    weighed = judged.select("*", F.lit(1).cast("bigint").alias("weight"), tags_arrival())
-    apart = [*group, "fragment_index", "first_header", "tags", "tags_at", "weight"]
-    rest = [c for c in columns if c not in apart]
-    kept = (
-        weighed.where("status = 'kept'")
-        .groupBy(*group, "fragment_index")
+    # Kept rows of one index fold into one; every other row is a group of its own.
+    apart = F.when(F.col("status") != "kept", arrival()).alias("_apart")
+    single = F.lit(1).cast("bigint").alias("weight")
+    named = [*group, "fragment_index", "status", "first_header", "tags", "tags_at", "weight"]
+    rest = [c for c in judged.columns if c not in named]
+    return (
+        judged.select("*", single, tags_arrival(), apart)
+        .groupBy(*group, "fragment_index", "status", "_apart")
         .agg(
             F.first("first_header").alias("first_header"),
             F.max_by("tags", "tags_at").alias("tags"),
@@ -183,6 +184,5 @@ def with_status_spread(
             F.sum("weight").alias("weight"),
             F.max_by(F.struct(*rest), arrival()).alias("_last"),
         )
-        .select(*apart, "_last.*")
+        .select(*named, "_last.*")
     )
-    return weighed.where("status <> 'kept'").unionByName(kept)
