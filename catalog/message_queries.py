@@ -26,7 +26,12 @@ from wirelog.operators.routing import (
 from wirelog.plans.decode_capture import decode_capture
 from wirelog.plans.handlers import Reverse, Truncate, apply_handlers
 from wirelog.session import scratch_path
-from wirelog.sources.readers import read_lines, read_packets, union_listeners
+from wirelog.sources.readers import (
+    read_lines,
+    read_listeners,
+    read_packets,
+    union_listeners,
+)
 from wirelog.sources.sinks import (
     count_sink,
     fan_out,
@@ -396,3 +401,23 @@ def received(spark, sf_dir):
         "listener",
         F.md5(F.hex("data").cast("binary")).alias("digest"),
     )
+
+
+@query(
+    "read_listeners",
+    """SELECT k.name AS listener, doc_id, md5(substr(hex(encode(text)), 1, 2 * k.size)) AS digest
+ FROM documents, (VALUES ('narrow', 50), ('usual', 300)) AS k(name, size)""",
+)
+def listeners(spark, sf_dir):
+    """Two listeners on the same capture; one has a receive size of its own."""
+    path = scratch_path(spark, "listeners")
+    messages = X.document_messages(spark, sf_dir).withColumnRenamed("payload", "data")
+    columns = ["listener", "ts", "seq", "sender_host", "sender_port", "data"]
+    messages.select(*columns).write.parquet(path)
+    settings = {"narrow": {"path": path, "receive_size": 50}, "usual": {"path": path}}
+    packets = read_listeners(spark, settings, {"receive_size": 300})
+    return packets.select(
+        "listener",
+        F.call_function("div", F.col("seq"), F.lit(65536)).alias("doc_id"),
+        F.md5(F.hex("data").cast("binary")).alias("digest"),
+    )

@@ -171,11 +171,12 @@ def parse(spark, sf_dir):
     both = single.withColumn("single", F.lit(True)).unionByName(
         multi.withColumn("single", F.lit(False))
     )
-    numbers = ["sender_port", "msg_id", "fragment_count", "fragment_index", "fragment_size"]
-    numbers += ["total_length", "payload_length"]
+    numbers = ["sender_port", "msg_id", "fragment_count", "fragment_index", "total_length"]
+    numbers += ["payload_length"]
     return both.select(
         X.doc_id().alias("doc_id"),
         *[F.col(c).cast("bigint").alias(c) for c in numbers],
+        "fragment_size",
         numeric_message_key().alias("message_key"),
         "single",
     )

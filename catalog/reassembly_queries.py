@@ -91,7 +91,7 @@ def invalid(spark, sf_dir):
     return defragment(fragments).invalid.select(
         X.doc_id().alias("doc_id"),
         F.col("fragment_index").cast("bigint").alias("fragment_index"),
-        F.col("payload_length").cast("bigint").alias("payload_length"),
+        "payload_length",
     )
 
 
@@ -125,7 +125,7 @@ def late_rows(spark, sf_dir):
     fragments = valid_fragments(X.repeated(X.document_packets(spark, sf_dir)))
     return defragment(fragments).late_duplicates.select(
         X.doc_id().alias("doc_id"),
-        F.col("fragment_index").cast("bigint").alias("fragment_index"),
+        "fragment_index",
         F.col("payload_length").cast("bigint").alias("payload_length"),
     )
 

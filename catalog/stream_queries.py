@@ -14,6 +14,7 @@ from wirelog.operators.defrag import with_checksum
 from wirelog.operators.routing import route
 from wirelog.session import scratch_path
 from wirelog.sources.readers import read_packets
+from wirelog.streaming.decode import decode_stream
 from wirelog.streaming.defrag import defragment_session, defragment_stream
 from wirelog.streaming.holes import holes_stream
 from wirelog.streaming.run import run_available
@@ -116,6 +117,32 @@ def holes(spark, sf_dir):
     )
 
 
+@query(
+    "decode_stream",
+    """WITH u AS (
+  SELECT 'udp' || CAST(user_id % 3 AS VARCHAR) AS listener, 'simple' AS origin,
+         octet_length(encode(event_type)) AS size FROM events WHERE event_id % 8 <= 1
+  UNION ALL
+  SELECT 'udp', 'fragments', octet_length(encode(text)) FROM documents WHERE doc_id % 53 <> 0
+ )
+ SELECT listener, origin, CAST(count(*) AS BIGINT) AS messages, CAST(sum(size) AS BIGINT) AS bytes
+ FROM u GROUP BY ALL""",
+)
+def decoded(spark, sf_dir):
+    """Plain datagrams, whole documents and corrupted ones in one stream. The events cover
+    a month, the documents minutes, so the disorder of this mixture is bounded by its span."""
+    packets = X.corrupted(X.document_packets(spark, sf_dir)).select(*PACKET_COLUMNS)
+    mixed = packets.unionByName(X.event_packets(spark, sf_dir).select(*PACKET_COLUMNS))
+    path = stored(mixed, "mixed")
+    messages = decode_stream(read_packets(spark, path, streaming=True), watermark_delay="400 days")
+    found = run_available(messages, "decoded")
+    origin = F.when(F.col("msg_id").isNull(), "simple").otherwise("fragments")
+    return found.groupBy("listener", origin.alias("origin")).agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.sum(F.octet_length("payload").cast("bigint")).alias("bytes"),
+    )
+
+
 @query("stats_stream", COUNTERS_SQL)
 def running(spark, sf_dir):
     """Update mode: the last micro-batch to touch a listener holds its counters."""

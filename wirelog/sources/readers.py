@@ -107,6 +107,19 @@ def lines_to_messages(
     return messages, rejects
 
 
+def read_listeners(
+    spark: SparkSession, listeners: dict[str, dict], defaults: dict | None = None
+) -> DataFrame:
+    """Datagrams of several listeners. Each has its own arguments of :func:`read_packets`,
+    which fall back to ``defaults``."""
+    return union_listeners(
+        *[
+            read_packets(spark, listener=name, **{**(defaults or {}), **own})
+            for name, own in listeners.items()
+        ]
+    )
+
+
 def union_listeners(*inputs: DataFrame) -> DataFrame:
     """Several listeners' tables as one; each keeps its name in ``listener``."""
     return reduce(DataFrame.unionByName, inputs)
