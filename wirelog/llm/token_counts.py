@@ -10,7 +10,6 @@ widened, in the end to the whole rest.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +25,6 @@ AGREE = 4
 _BATCH_CHARACTERS = 1 << 20
 
 
-@lru_cache(maxsize=4)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
