@@ -33,6 +33,16 @@ def unpacked(df: DataFrame, names: Sequence[str], added: Sequence[str] = ()) ->
     return df.select(*kept, *[named(a) for a in added])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, its columns computed once.
+
+    The optimizer copies a column's expression into filters that read it, and into the
+    lambdas of whoever reads it next; it doesn't copy anything through a generator.
+    """
+    row = F.explode(F.array(F.struct(*[named(c).alias(c) for c in df.columns]))).alias("_settled")
+    return df.select(row).select(*[named(c, "_settled").alias(c) for c in df.columns])
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelog.llm.frames import Scratch, named, packed, text_key, unpacked
+from wirelog.llm.frames import Scratch, named, packed, settled, text_key, unpacked
 from wirelog.llm.spans import listed, located
 
 KINDS = ("email", "ip", "card", "phone")
@@ -231,6 +231,6 @@ def redact_pii(docs: DataFrame, text_column: str = "text", scratch: Scratch | No
     for kind in KINDS:
         pattern, _, needed = patterns[kind]
         joined = joined.withColumn("_text", F.when(needed, _replaced(kind, pattern)).otherwise(F.col("_text")))
-    return joined.select(
+    return settled(joined.select("_row", "_text")).select(
         *[(F.col("_text") if c == text_column else named(c, "_row")).alias(c) for c in docs.columns]
     )

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelog.llm.frames import NOT_SPACE, named, packed, unpacked, words_of
+from wirelog.llm.frames import NOT_SPACE, named, packed, settled, unpacked, words_of
 
 BUCKETS = 1 << 14
 #: Occurrences added to a bucket's count in the target and to the count expected from the raw
@@ -132,4 +132,4 @@ def rate_quality(
     rows = _repeats(_hashed(rows)).withColumn("llr", F.round(_score(ratios), 6))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return unpacked(rows, names, OUTPUTS)
+    return unpacked(settled(rows.select("_row", *OUTPUTS)), names, OUTPUTS)
