@@ -147,6 +147,24 @@ def largest(spark, sf_dir):
     return found.select("sender_port", F.col("msg_id").cast("bigint").alias("msg_id"), "rank")
 
 
+@query(
+    "loss_report_nulls",
+    """SELECT CAST(NULL AS VARCHAR) AS sender_host, CAST(user_id AS INTEGER) AS sender_port,
+ CAST(count(*) - 1 AS BIGINT) AS holes, CAST(2 * (count(*) - 1) AS BIGINT) AS missing_ids,
+ CAST(count(*) AS BIGINT) AS incomplete_messages, CAST(2 * count(*) AS BIGINT) AS missing_fragments
+ FROM events GROUP BY user_id""",
+)
+def report_without_hosts(spark, sf_dir):
+    """Every third id used, each by a message that lacks two of its fragments; no host known."""
+    ids = X.event_ids(spark, sf_dir, every=True).withColumns(
+        {"sender_host": F.lit(None).cast("string"), "msg_id": F.col("msg_id") * 3}
+    )
+    header = F.struct(F.lit(5).alias("fragment_count"))
+    generations = ids.select(*ids.columns, header.alias("first_header"), F.lit(3).alias("received"))
+    report = loss_report(gaps_exact(ids), generations)
+    return report.drop("listener")
+
+
 @query(
     "loss_report",
     DOCS

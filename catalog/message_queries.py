@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog.packet_queries import JAVA_HASH
 from catalog.registry import query
+from wirelog.functions.binary import latin1_bytes
 from wirelog.operators.messages import (
     format_messages,
     parse_events,
@@ -230,45 +231,41 @@ def topics(spark, sf_dir):
 
 LINES_SQL = """WITH lines AS (
   SELECT unnest(string_split(text, chr(10))) AS line FROM documents
-), stripped AS (SELECT regexp_replace(line, '\\r$', '') AS line FROM lines)
-"""
+), bytes AS (
+  SELECT list_transform(string_split(line, ''), lambda c: CASE WHEN ord(c) < 256 THEN ord(c) ELSE 63 END)
+         AS codes FROM lines
+)
+SELECT len(codes) > 80 AS refused,
+ md5(list_aggregate(list_transform(codes, lambda c: printf('%02X', c)), 'string_agg', '')) AS digest
+FROM bytes WHERE len(codes) > 0 UNION ALL
+SELECT false, md5('') FROM lines WHERE line = ''"""
 
 
-@query(
-    "lines",
-    LINES_SQL
-    + """SELECT octet_length(encode(line)) > 80 AS refused, CAST(count(*) AS BIGINT) AS lines,
- CAST(sum(octet_length(encode(line))) AS BIGINT) AS bytes FROM stripped GROUP BY ALL""",
-)
+@query("lines", LINES_SQL)
 def lines(spark, sf_dir):
+    """The documents' lines in Latin-1, which is no UTF-8, every fifth with carriage returns."""
     path = scratch_path(spark, "lines")
-    X.table(spark, sf_dir, "documents").select("text").write.text(path)
+    docs = X.table(spark, sf_dir, "documents")
+    returns = F.when(F.col("doc_id") % 5 == 0, F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r")))
+    raw = latin1_bytes(F.coalesce(returns, F.col("text")))
+    docs.select(raw.cast("string").alias("value")).write.text(path)
     messages, rejects = read_lines(spark, path, max_line=80)
     both = messages.select(F.lit(False).alias("refused"), "payload").unionByName(
         rejects.select(F.lit(True).alias("refused"), F.col("data").alias("payload"))
     )
-    return both.groupBy("refused").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum(F.octet_length("payload").cast("bigint")).alias("bytes"),
-    )
+    return both.select("refused", F.md5(F.hex("payload").cast("binary")).alias("digest"))
 
 
 @query(
     "write_text",
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '[' || source || ',' || lang || '] ' END
- || CAST(n_chars AS VARCHAR) AS line FROM documents""",
+    """SELECT md5(unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN ''
+ ELSE '[' || source || ',' || lang || '] ' END || text, chr(10)))) AS digest FROM documents""",
 )
 def text_sink(spark, sf_dir):
+    """Whole texts, line breaks and all, as they stand in the files."""
     path = scratch_path(spark, "text")
-    docs = X.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    payload = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
-    messages = _tagged_documents(spark, sf_dir).drop("payload").join(docs, "doc_id")
-    write_text(messages.withColumn("payload", F.encode(payload, "UTF-8")), path)
-    parts = F.regexp_extract(F.col("value"), r"^(\[.*\] )?(\d+):(\d+)$", 2)
-    return spark.read.text(path).select(
-        parts.cast("bigint").alias("doc_id"),
-        F.regexp_replace("value", r"(^|\] )\d+:", "$1").alias("line"),
-    )
+    write_text(_tagged_documents(spark, sf_dir), path)
+    return spark.read.text(path, lineSep="\n").select(F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
 @query("count_sink", "SELECT CAST(count(*) AS BIGINT) AS messages FROM documents")

@@ -223,6 +223,68 @@ def skewed(spark, sf_dir):
     )
 
 
+PATHS_SQL = (
+    DOCS
+    + """, sent AS (
+  SELECT doc_id, n, i, doc_id % 4 = 0 AS nameless,
+         doc_id * 1000000 + i * 1000 AS us, doc_id * 65536 + i AS seq, false AS again FROM f WHERE n > 1
+  UNION ALL
+  SELECT doc_id, n, 0, doc_id % 4 = 0, doc_id * 1000000 + 500, doc_id * 65536, true FROM f
+   WHERE n > 1 AND i = 0 AND doc_id % 29 = 0
+  UNION ALL
+  SELECT doc_id, n, 0, doc_id % 4 = 0, doc_id * 1000000 + 1000000, doc_id * 65536, true FROM f
+   WHERE n > 1 AND i = 0 AND doc_id % 31 = 0
+), kinds AS (
+  SELECT *, CASE WHEN us = doc_id * 1000000 + 1000000 AND again THEN 'late_duplicate' END AS late FROM sent
+)
+SELECT doc_id, 'message' AS output, CAST(count(*) FILTER (WHERE late IS NULL) AS BIGINT) AS touches,
+ min(us) AS first_us, arg_min(seq, us) AS first_seq FROM kinds GROUP BY doc_id
+UNION ALL
+SELECT doc_id, 'late_duplicate', 1, us, seq FROM kinds WHERE late IS NOT NULL
+UNION ALL
+SELECT doc_id, 'late_duplicate', 1, us, seq FROM kinds WHERE late IS NOT NULL AND doc_id % 2 = 0"""
+)
+
+
+def _both_paths(spark, sf_dir, min_rows):
+    """Repeated fragments, the late ones of even documents twice at one instant, and every
+    fourth document from a sender without a host."""
+    packets = X.repeated(X.document_packets(spark, sf_dir)).withColumn(
+        "sender_host", F.when(F.col("doc_id") % 4 != 0, F.col("sender_host"))
+    )
+    late = (F.unix_micros("ts") - X.BASE_US) == F.col("doc_id") * 1000000 + 1000000
+    twice = packets.where(late & (F.col("doc_id") % 2 == 0) & (F.col("fragment_index") == 0) & (F.col("doc_id") % 31 == 0))
+    fragments = valid_fragments(packets.unionByName(twice))
+    hot = None if min_rows is None else find_hot_keys(fragments, min_rows)
+    result = defragment(fragments, hot_keys=hot, singles=False)
+    messages = result.generations.where(is_complete()).select(
+        X.doc_id().alias("doc_id"),
+        F.lit("message").alias("output"),
+        "touches",
+        (F.unix_micros("first_ts") - X.BASE_US).alias("first_us"),
+        "first_seq",
+    )
+    late_rows = result.late_duplicates.select(
+        X.doc_id().alias("doc_id"),
+        F.col("status").alias("output"),
+        F.lit(1).cast("bigint").alias("touches"),
+        (F.unix_micros("ts") - X.BASE_US).alias("first_us"),
+        F.col("seq").alias("first_seq"),
+    )
+    return messages.unionByName(late_rows)
+
+
+@query("defragment_paths", PATHS_SQL)
+def usual_path(spark, sf_dir):
+    return _both_paths(spark, sf_dir, None)
+
+
+@query("defragment_paths_spread", PATHS_SQL)
+def spread_path(spark, sf_dir):
+    """The same rows with every key on the way of the crowded ones."""
+    return _both_paths(spark, sf_dir, 0)
+
+
 @query(
     "port_only_key",
     "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, md5(text) AS digest "

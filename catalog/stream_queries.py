@@ -60,6 +60,22 @@ def session(spark, sf_dir):
     )
 
 
+@query(
+    "session_singles",
+    "SELECT doc_id, true AS complete, md5(text) AS digest, 0 AS missing FROM documents",
+)
+def sessions_of_singles(spark, sf_dir):
+    """Messages of one fragment leave whole, though every second declares a wrong length."""
+    packets = X.document_packets(spark, sf_dir)
+    fragments = fragment_stream(spark, packets)
+    wrong = (F.col("fragment_count") == 1) & (F.col("msg_id") % 2 == 0)
+    declared = F.when(wrong, F.col("total_length") + 7).otherwise(F.col("total_length"))
+    done = run_available(defragment_session(fragments.withColumn("total_length", declared)), "singles")
+    return done.where("listener <> 'closing'").select(
+        X.doc_id().alias("doc_id"), "complete", F.md5("payload").alias("digest"), F.size("missing").alias("missing")
+    )
+
+
 @query(
     "defragment_stream",
     DOCS

@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 from wirelog.functions.binary import log2_bucket
 from wirelog.functions.hashing import with_murmur3
 from wirelog.operators.decode import message_key, split_single_multi
-from wirelog.operators.fragment_status import arrival, with_status, with_status_spread
+from wirelog.operators.fragment_status import (
+    arrival,
+    with_payload_length,
+    with_status,
+    with_status_spread,
+)
+from wirelog.operators.joins import join_on
 from wirelog.schemas import DEFAULT_EXPIRE
 
 def assemble(staged: DataFrame, key: list[str] | None = None, payload: bool = True) -> DataFrame:
@@ -30,8 +36,8 @@ def assemble(staged: DataFrame, key: list[str] | None = None, payload: bool = Tr
     aggregates = [
         F.first("first_header").alias("first_header"),
         F.max(F.when(kept, arrival()))["ts"].alias("ts"),
-        F.min(arrival())["ts"].alias("first_ts"),
-        F.min(arrival())["seq"].alias("first_seq"),
+        F.min("opened")["ts"].alias("first_ts"),
+        F.min("opened")["seq"].alias("first_seq"),
         F.count_if(kept).alias("received"),
         F.sum(F.when(F.col("status") != "late_duplicate", F.col("weight"))).alias("touches"),
         F.count_if(F.col("status") == "late_duplicate").alias("late_duplicates"),
@@ -43,7 +49,7 @@ def assemble(staged: DataFrame, key: list[str] | None = None, payload: bool = Tr
     if payload:
         aggregates.append(bytes_in_order.alias("payload"))
     carried = [c for c in ["sender_host"] if c not in key and c in staged.columns]
-    aggregates += [F.first(c).alias(c) for c in carried]
+    aggregates += [F.min_by(c, "opened").alias(c) for c in carried]
     return staged.groupBy(*key, "generation").agg(*aggregates)
 
 
@@ -99,14 +105,24 @@ class Reassembly:
     generations: DataFrame
 
 
+# Several times the largest fragment count of one message, and what a task can hold and sort.
+HOT_KEY_ROWS = 1_000_000
+HOT_KEY_BYTES = 1 << 30
+
+
 def find_hot_keys(
-    fragments: DataFrame, min_rows: int, key: list[str] | None = None
+    fragments: DataFrame,
+    min_rows: int = HOT_KEY_ROWS,
+    key: list[str] | None = None,
+    min_bytes: int = HOT_KEY_BYTES,
 ) -> DataFrame:
-    """Keys with more than ``min_rows`` fragments; reads four narrow columns of a stored
-    ``fragments`` table and combines before the shuffle."""
+    """Keys with more than ``min_rows`` fragments or ``min_bytes`` of payload; reads narrow
+    columns of a stored ``fragments`` table and combines before the shuffle."""
     key = key or message_key()
-    counted = fragments.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counted.where(F.col("_rows") > min_rows).select(*key)
+    counted = with_payload_length(fragments).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(F.col("payload_length").cast("bigint")).alias("_bytes")
+    )
+    return counted.where((F.col("_rows") > min_rows) | (F.col("_bytes") > min_bytes)).select(*key)
 
 
 def _staged_parts(
@@ -116,8 +132,8 @@ def _staged_parts(
     if hot is None:
         return [with_status(fragments, expire, key)]
     return [
-        with_status(fragments.join(hot, key, "left_anti"), expire, key),
-        with_status_spread(fragments.join(hot, key, "left_semi"), expire, key),
+        with_status(join_on(fragments, hot, key, "left_anti"), expire, key),
+        with_status_spread(join_on(fragments, hot, key, "left_semi"), expire, key),
     ]
 
 
@@ -141,20 +157,26 @@ def defragment(
     expire: str = DEFAULT_EXPIRE,
     key: list[str] | None = None,
     hot_keys: DataFrame | None = None,
+    singles: bool = True,
 ) -> Reassembly:
     """Reassemble ``fragments``; see :class:`Reassembly` for the outputs.
 
-    ``hot_keys`` comes from :func:`find_hot_keys`. Each part is assembled before the union,
+    ``hot_keys`` comes from :func:`find_hot_keys`. Single-fragment messages need no assembly:
+    with ``singles`` they stand in ``messages`` as :func:`single_messages` gives them, and in
+    no other output. Each part is assembled before the union,
     so the usual part keeps its partitioning. Checksums are not judged here, see
     :func:`verify_checksum`.
     """
     key = key or message_key()
-    parts = _staged_parts(fragments, expire, key, hot_keys)
+    parts = _staged_parts(fragments.where("fragment_count <> 1"), expire, key, hot_keys)
     assembled = _union(assemble(part, key) for part in parts)
     counted = _union(assemble(part, key, payload=False) for part in parts)
     staged = _union(parts)
+    messages = _complete_messages(assembled, key)
+    if singles:
+        messages = messages.unionByName(single_messages(fragments).select(messages.columns))
     return Reassembly(
-        messages=_complete_messages(assembled, key),
+        messages=messages,
         incomplete=_incomplete_messages(counted, key),
         invalid=staged.where(F.col("status") == "invalid"),
         late_duplicates=staged.where(F.col("status") == "late_duplicate"),
@@ -196,9 +218,14 @@ def verify_checksum(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reassemble(fragments: DataFrame, **options) -> DataFrame:
-    """Single and multi-fragment messages with their checksum verdict, before filtering."""
+    """Single and multi-fragment messages with their checksum verdict, before filtering.
+
+    Crowded keys are looked for unless ``hot_keys`` names them or is None.
+    """
     single, several = split_single_multi(fragments)
-    multi = defragment(several, **options).messages
+    if "hot_keys" not in options:
+        options["hot_keys"] = find_hot_keys(several, key=options.get("key"))
+    multi = defragment(several, singles=False, **options).messages
     return with_checksum(multi.unionByName(single_messages(single)))
 
 

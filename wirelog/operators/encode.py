@@ -17,6 +17,7 @@ from wirelog.schemas import (
 )
 
 MAX_ID = 2**31 - 2
+MAX_FIELD = 65535  # sizes and counts of the header have 16 bits
 
 
 def tags_fit(tags: Column | str, max_fragment_size: int) -> Column:
@@ -31,8 +32,8 @@ def _planned(messages: DataFrame, room: int) -> DataFrame:
     wanted = payload_length + tag_length
     reason = (
         F.when(F.col("fragment_count") == 0, "empty")
-        .when(tag_length > room, "tags_too_large")
-        .when(F.col("fragment_count") > 65535, "too_many_fragments")
+        .when(tag_length > F.lit(min(room, MAX_FIELD)), "tags_too_large")
+        .when(F.col("fragment_count") > MAX_FIELD, "too_many_fragments")
         .when(payload_length < (F.col("fragment_count") - 1) * room, "tags_spill")
     )
     tagged = messages if "tags" in messages.columns else messages.withColumn("tags", F.lit(None))
@@ -54,6 +55,8 @@ def packetize(
     room = max_fragment_size - HEADER_SIZE
     if room < 1:
         raise ValueError(f"fragment size must exceed {HEADER_SIZE}")
+    if max(room, size_field or 0) > MAX_FIELD:
+        raise ValueError(f"a piece of more than {MAX_FIELD} bytes has no place in the header")
     planned = _planned(messages, room).where(F.col("reason").isNull())
     last = F.col("fragment_count") - 1
     length = F.octet_length("payload")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelog.operators.decode import message_key
+from wirelog.operators.joins import join_on
 from wirelog.schemas import ARRIVAL, DEFAULT_EXPIRE
 from wirelog.session import duration_us
 
@@ -39,9 +40,10 @@ def with_generation(
     """Number the attempts at one message: ``expire`` without a touch starts a new one.
 
     ``first_header`` is that of the generation's first arrival, valid or not; it fixes
-    count, size, hash and length for all. Both share one window and one sort.
+    count, size, hash and length for all. Both share one window and one sort. Of headers that
+    arrive at once the least comes first.
     """
-    by_arrival = Window.partitionBy(*(key or message_key())).orderBy(*ARRIVAL)
+    by_arrival = Window.partitionBy(*(key or message_key())).orderBy(*ARRIVAL, *HEADER)
     micros = F.unix_micros("ts")
     idle = micros - F.lag(micros).over(by_arrival)
     starts = F.col("_starts")
@@ -77,6 +79,11 @@ def _status(done: Column, replaced: Column) -> Column:
     )
 
 
+def _for_itself() -> list[Column]:
+    """What a row that stands for no other has: a weight of one and its own arrival."""
+    return [F.lit(1).cast("bigint").alias("weight"), tags_arrival(), arrival().alias("opened")]
+
+
 def with_status(
     fragments: DataFrame, expire: str = DEFAULT_EXPIRE, key: list[str] | None = None
 ) -> DataFrame:
@@ -109,8 +116,7 @@ def with_status(
     done = F.when(complete, F.col("_last_new"))
     replaced = F.col("_next").isNotNull() & (done.isNull() | (F.col("_next") <= done))
     kept = [c for c in columns if c != "valid"]
-    weight = F.lit(1).cast("bigint").alias("weight")
-    return staged.select(*kept, _status(done, replaced).alias("status"), weight, tags_arrival())
+    return staged.select(*kept, _status(done, replaced).alias("status"), *_for_itself())
 
 
 def time_bucket(width_us: int) -> Column:
@@ -123,7 +129,8 @@ def with_status_spread(
     fragments: DataFrame, expire: str = DEFAULT_EXPIRE, key: list[str] | None = None
 ) -> DataFrame:
     """:func:`with_status` for crowded keys, with ``superseded`` rows folded into the
-    ``kept`` row of their index (its ``weight`` counts them).
+    ``kept`` row of their index: its ``weight`` counts them and ``opened`` is the earliest.
+    Rows of any other status stay as they are.
 
     Rows meet what is known about their key in joins, whose skewed partitions adaptive
     execution splits; everything else is an aggregate that combines before its shuffle.
@@ -134,20 +141,19 @@ def with_status_spread(
     buckets = rows.groupBy(*key, "_bucket").agg(
         F.min("ts").alias("_from"),
         F.max("ts").alias("_to"),
-        F.min_by(F.struct(*HEADER), arrival()).alias("_header"),
+        F.min(F.struct(*ARRIVAL, *HEADER)).alias("_header"),
     )
     in_time = Window.partitionBy(*key).orderBy("_bucket")
     idle = F.unix_micros("_from") - F.unix_micros(F.lag("_to").over(in_time))
     starts = F.col("_starts")
+    header = F.struct(*[F.col(f"_header.{c}").alias(c) for c in HEADER])
     placed = buckets.select("*", F.coalesce(idle >= width, F.lit(True)).alias("_starts")).select(
         *key,
         "_bucket",
         (F.sum(starts.cast("int")).over(in_time) - 1).cast("int").alias("generation"),
-        F.last(F.when(starts, F.col("_header")), ignorenulls=True)
-        .over(in_time)
-        .alias("first_header"),
+        F.last(F.when(starts, header), ignorenulls=True).over(in_time).alias("first_header"),
     )
-    staged = rows.join(placed, [*key, "_bucket"]).withColumn("valid", fragment_is_valid())
+    staged = join_on(rows, placed, [*key, "_bucket"]).withColumn("valid", fragment_is_valid())
     group = [*key, "generation"]
     count = F.first("first_header.fragment_count")
     first_of_index = (
@@ -167,22 +173,24 @@ def with_status_spread(
     )
     status = _status(F.col("_done"), F.lit(False))
     judged = (
-        staged.join(done, group, "left").withColumn("status", status).drop("_bucket", "_done", "valid")
+        join_on(staged, done, group, "left")
+        .withColumn("status", status)
+        .drop("_bucket", "_done", "valid")
     )
-    # Kept rows of one index fold into one; every other row is a group of its own.
-    apart = F.when(F.col("status") != "kept", arrival()).alias("_apart")
-    single = F.lit(1).cast("bigint").alias("weight")
-    named = [*group, "fragment_index", "status", "first_header", "tags", "tags_at", "weight"]
-    rest = [c for c in judged.columns if c not in named]
-    return (
-        judged.select("*", single, tags_arrival(), apart)
-        .groupBy(*group, "fragment_index", "status", "_apart")
+    plain = judged.columns
+    judged = judged.select("*", *_for_itself())
+    folded = ["tags", "tags_at", "weight", "opened"]
+    rest = [c for c in plain if c not in (*group, "fragment_index", "status", *folded)]
+    kept = (
+        judged.where("status = 'kept'")
+        .groupBy(*group, "fragment_index", "status")
         .agg(
-            F.first("first_header").alias("first_header"),
             F.max_by("tags", "tags_at").alias("tags"),
             F.max("tags_at").alias("tags_at"),
             F.sum("weight").alias("weight"),
+            F.min("opened").alias("opened"),
             F.max_by(F.struct(*rest), arrival()).alias("_last"),
         )
-        .select(*named, "_last.*")
+        .select(*group, "fragment_index", "status", *folded, "_last.*")
     )
+    return kept.select(judged.columns).unionByName(judged.where("status <> 'kept'"))

@@ -25,7 +25,7 @@ ID_BUCKET = 4096
 
 def _check(max_hole: int) -> None:
     if max_hole < 1:
-        raise ValueError(f"largest hole too small: {max_hole}")
+        raise ValueError(f"max_hole must be at least 1, not {max_hole}")
 
 
 def new_message_ids(fragments: DataFrame, generations: DataFrame) -> DataFrame:
@@ -57,8 +57,8 @@ def gaps_exact(
 
     Ids are cut in buckets of ``bucket`` values. A bucket's set of ids is built before the
     shuffle, so neither a busy sender nor many copies of an id make a group larger than
-    that. Holes across buckets come from the second shuffle: one row per used bucket, at
-    most 2^32 / ``bucket`` per sender, with the holes found so far.
+    that. Holes across buckets come from the second shuffle: four narrow columns per used
+    bucket, at most 2^32 / ``bucket`` rows per sender. Holes inside a bucket stay where they are.
     """
     _check(max_hole)
     whole = F.col("msg_id").cast("bigint")
@@ -68,20 +68,16 @@ def gaps_exact(
         .agg(F.array_sort(F.collect_set("msg_id")).alias("_ids"))
     )
     neighbours = F.transform("_ids", lambda x, at: _gap(x, F.get(F.col("_ids"), at + 1)))
-    per_bucket = present.select(
-        *SENDER,
-        "_bucket",
-        F.get("_ids", F.lit(0)).alias("_first"),
-        F.element_at("_ids", -1).alias("_last"),
-        _small_holes(neighbours, max_hole).alias("_inside"),
-    )
+    inside = present.select(*SENDER, F.explode(_small_holes(neighbours, max_hole)).alias("_gap"))
     following = F.lead("_first").over(Window.partitionBy(*SENDER).orderBy("_bucket"))
-    across = _small_holes(F.array(_gap(F.col("_last"), F.col("_following"))), max_hole)
-    return (
-        per_bucket.withColumn("_following", following)
-        .select(*SENDER, F.explode(F.concat("_inside", across)).alias("_gap"))
-        .select(*SENDER, "_gap.*")
+    ends = ids.select(*SENDER, "msg_id", (whole - F.pmod(whole, F.lit(bucket))).alias("_bucket"))
+    across = (
+        ends.groupBy(*SENDER, "_bucket")
+        .agg(F.min("msg_id").alias("_first"), F.max("msg_id").alias("_last"))
+        .select(*SENDER, _gap(F.col("_last"), following).alias("_gap"))
+        .where(F.col("_gap.hole_size").between(1, max_hole))
     )
+    return inside.unionByName(across).select(*SENDER, "_gap.*")
 
 
 def sender_leases(ids: DataFrame, idle: str = DEFAULT_IDLE) -> DataFrame:
@@ -161,7 +157,10 @@ def top_ids(ids: DataFrame, n: int = DEFAULT_IDS_PER_PORT) -> DataFrame:
 
 
 def loss_report(gaps: DataFrame, generations: DataFrame) -> DataFrame:
-    """Missing ids and missing fragments per sender; both sides are aggregated first."""
+    """Missing ids and missing fragments per sender; both sides are aggregated first.
+
+    The two are stacked and summed rather than joined, so a NULL in a sender is one value.
+    """
     holes = gaps.groupBy(*SENDER).agg(
         F.count(F.lit(1)).alias("holes"), F.sum("hole_size").alias("missing_ids")
     )
@@ -175,6 +174,7 @@ def loss_report(gaps: DataFrame, generations: DataFrame) -> DataFrame:
         )
     )
     counts = ["holes", "missing_ids", "incomplete_messages", "missing_fragments"]
-    return holes.join(partial, SENDER, "full_outer").select(
-        *SENDER, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts]
+    both = holes.unionByName(partial, allowMissingColumns=True)
+    return both.groupBy(*SENDER).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts]
     )

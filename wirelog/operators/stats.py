@@ -118,11 +118,27 @@ def invalid_histogram(invalid: DataFrame) -> DataFrame:
 def dropped_histogram(generations: DataFrame) -> DataFrame:
     """Histogram of fragments that never came, straight from the incomplete generations."""
     count = F.col("first_header.fragment_count")
-    missing = F.array_except(F.sequence(F.lit(0), count - 1), "indices")
+    # What is missing in a cell is its width below the count less what arrived in it.
+    bounds = F.array(*[F.lit(0)] + [F.lit(1 << slot) for slot in range(SLOTS)])
+    width = lambda slot: F.greatest(
+        F.least(count, F.get(bounds, slot + 1)) - F.get(bounds, slot), F.lit(0)
+    )
+    arrived = F.transform("indices", lambda i: log2_bucket(i))
+    cells = F.transform(
+        F.sequence(F.lit(0), F.lit(SLOTS - 1)),
+        lambda slot: F.struct(
+            slot.alias("index_log2"),
+            (width(slot) - F.size(F.filter(arrived, lambda a: a == slot))).cast("bigint").alias("missing"),
+        ),
+    )
     lost = generations.where(~is_complete()).select(
-        "listener", count.alias("fragment_count"), F.explode(missing).alias("fragment_index")
+        "listener", log2_bucket(count - 1).alias("count_log2"), F.explode(cells).alias("_cell")
+    )
+    return (
+        lost.where("_cell.missing > 0")
+        .groupBy("listener", "count_log2", "_cell.index_log2")
+        .agg(F.sum("_cell.missing").alias("fragments"))
     )
-    return loss_histogram_2d(lost)
 
 
 def handler_stats(routed: DataFrame, sink: str) -> DataFrame:
@@ -157,7 +173,9 @@ def size_profile(df: DataFrame, column: str, exact: bool = False) -> DataFrame:
 
 
 def _joined(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
-    return left.join(right.select("listener", *columns), "listener", "full_outer")
+    other = right.select(F.col("listener").alias("_listener"), *columns)
+    joined = left.join(other, left.listener.eqNullSafe(other._listener), "full_outer")
+    return joined.withColumn("listener", F.coalesce("listener", "_listener")).drop("_listener")
 
 
 def statistics(

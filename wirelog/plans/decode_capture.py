@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from wirelog.operators.decode import (
     valid_fragments,
 )
 from wirelog.operators.defrag import (
+    HOT_KEY_ROWS,
     defrag_cache_stats,
     defragment,
     find_hot_keys,
@@ -25,13 +28,15 @@ from wirelog.operators.defrag import (
     with_checksum,
 )
 from wirelog.operators.holes import new_message_ids
+from wirelog.operators.id_scan import scan_ids
 from wirelog.operators.messages import all_messages, as_messages
 from wirelog.operators.stats import statistics
-from wirelog.schemas import DEFAULT_EXPIRE
-
-
-# Several times the largest fragment count of one message.
-HOT_KEY_ROWS = 1_000_000
+from wirelog.schemas import (
+    DEFAULT_EXPIRE,
+    DEFAULT_IDLE,
+    DEFAULT_IDS_PER_PORT,
+    DEFAULT_MAX_HOLE,
+)
 
 
 def store_fragments(packets: DataFrame, path: str) -> DataFrame:
@@ -49,14 +54,19 @@ def store_fragments(packets: DataFrame, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Capture:
-    """Lazy tables of one decoded capture."""
+    """Lazy tables of one decoded capture. ``statistics`` runs the hole detector, which pins
+    its input, when it is first asked for."""
 
     messages: DataFrame
     commands: DataFrame
     rejects: DataFrame
     missing: DataFrame
     ids: DataFrame
-    statistics: DataFrame
+    count: Callable[[], DataFrame]
+
+    @cached_property
+    def statistics(self) -> DataFrame:
+        return self.count()
 
 
 def decode_capture(
@@ -65,9 +75,16 @@ def decode_capture(
     key_mode: str = "sender",
     hot_key_rows: int | None = HOT_KEY_ROWS,
     fragments_path: str | None = None,
+    detect_holes: bool = True,
+    idle: str = DEFAULT_IDLE,
+    ids_per_port: int = DEFAULT_IDS_PER_PORT,
+    max_hole: int = DEFAULT_MAX_HOLE,
 ) -> Capture:
     """Decode everything in ``packets``.
 
+    The hole counters of ``statistics`` come from the online detector with ``idle``,
+    ``ids_per_port`` and ``max_hole``; without ``detect_holes`` they are 0.
+
     With ``fragments_path`` the parsed fragments are stored there first, see
     :func:`store_fragments`: the raw capture is then parsed once, however many of the tables
     are used. A pass over four narrow columns finds message keys with more than
@@ -80,7 +97,7 @@ def decode_capture(
         fragments = valid_fragments(packets)
     single, several = split_single_multi(fragments)
     hot = find_hot_keys(several, hot_key_rows, key) if hot_key_rows else None
-    multi = defragment(several, expire, key, hot)
+    multi = defragment(several, expire, key, hot, singles=False)
     checked = with_checksum(multi.messages.unionByName(single_messages(single)))
     whole = checked.where("checksum_ok")
     rejects = [
@@ -102,18 +119,50 @@ def decode_capture(
     joined = rejects[0]
     for part in rejects[1:]:
         joined = joined.unionByName(part)
-    return Capture(
-        messages=all_messages(simple_messages(packets), as_messages(whole)),
-        commands=parse_commands(packets),
-        rejects=joined,
-        missing=missing_fragments(multi.incomplete),
-        ids=new_message_ids(fragments, multi.generations),
-        statistics=statistics(
+    ids = new_message_ids(fragments, multi.generations)
+
+    def count() -> DataFrame:
+        holes: list[DataFrame | None] = [None, None]
+        if detect_holes:
+            found = scan_ids(ids, idle, ids_per_port, max_hole, every_arrival=False)
+            holes = [found.where(F.col("kind") == kind) for kind in ("arrival", "lease_end")]
+        return statistics(
             packets,
             fragments,
             checked,
             multi.invalid,
             multi.generations,
             defrag_cache_stats(multi.generations),
-        ),
+            *holes,
+        )
+
+    return Capture(
+        messages=all_messages(simple_messages(packets), as_messages(whole)),
+        commands=parse_commands(packets),
+        rejects=joined,
+        missing=missing_fragments(multi.incomplete),
+        ids=ids,
+        count=count,
+    )
+
+
+def decode_listeners(
+    packets: DataFrame, settings: dict[str, dict], defaults: dict | None = None
+) -> Capture:
+    """Decode each listener of ``settings`` with its own arguments of :func:`decode_capture`,
+    which fall back to ``defaults``; rows of other listeners are decoded with the defaults."""
+    defaults = defaults or {}
+    own = [
+        decode_capture(packets.where(F.col("listener") == name), **{**defaults, **arguments})
+        for name, arguments in settings.items()
+    ]
+    named = F.col("listener").isin(list(settings)) if settings else F.lit(False)
+    parts = [*own, decode_capture(packets.where(~F.coalesce(named, F.lit(False))), **defaults)]
+
+    def every(table: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [getattr(part, table) for part in parts])
+
+    return Capture(
+        **{t: every(t) for t in ("messages", "commands", "rejects", "missing", "ids")},
+        count=lambda: every("statistics"),
     )

@@ -32,12 +32,13 @@ def duration_us(text: str) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent only a local master may fall back to a folder of its own.
+    Where the setting is absent, only a master of one machine and one process, as in tests,
+    gets a folder of its own; a cluster, a simulated one too, must name a shared one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     current = spark.sparkContext.getCheckpointDir()
     if current:

@@ -41,7 +41,8 @@ def packets_from_kafka(
     packets = records.select(
         F.lit(listener).alias("listener"),
         F.col("timestamp").alias("ts"),
-        F.col("offset").alias("seq"),
+        # offsets repeat over partitions; this order does not
+        (F.col("partition").cast("bigint") * (1 << 48) + F.col("offset")).alias("seq"),
         sender[0].alias("sender_host"),
         F.try_element_at(sender, F.lit(2)).cast("int").alias("sender_port"),
         F.col("value").alias("data"),
@@ -75,13 +76,16 @@ def lines_to_messages(
 ) -> tuple[DataFrame, DataFrame]:
     """Frame rules on a ``value`` column: one trailing carriage return goes, lines over
     ``max_line`` bytes are rejected, and so are lines that start with NUL if ``reserved`` is
-    ``'reject'``."""
+    ``'reject'``. A line is bytes: what is not UTF-8 stays as it came."""
     if reserved not in ("keep", "reject"):
         raise ValueError("reserved must be 'keep' or 'reject'")
-    stripped = lines.withColumn("value", F.regexp_replace("value", "\\r$", ""))
+    raw = F.col("value").cast("binary")
+    ends_in_return = F.substring(raw, -1, 1) == F.lit(bytearray(b"\r"))
+    shorter = F.substring(raw, F.lit(1), F.octet_length(raw) - 1)
+    stripped = lines.withColumn("value", F.when(ends_in_return, shorter).otherwise(raw))
     reason = F.when(F.octet_length("value") > max_line, "line_too_long")
     if reserved == "reject":
-        reason = reason.when(F.startswith("value", F.lit("\0")), "reserved_line")
+        reason = reason.when(F.substring("value", 1, 1) == F.lit(bytearray(b"\0")), "reserved_line")
     judged = stripped.withColumn("reason", reason)
     fixed = {
         "listener": F.lit(listener),
@@ -92,7 +96,7 @@ def lines_to_messages(
         "msg_id": F.lit(None).cast("int"),
         "fragment_count": F.lit(None).cast("int"),
         "tags": F.array().cast("array<string>"),
-        "payload": F.encode("value", "UTF-8"),
+        "payload": F.col("value"),
     }
     messages = judged.where(F.col("reason").isNull()).select(
         *[fixed[name].alias(name) for name in MESSAGE_COLUMNS]
@@ -102,7 +106,7 @@ def lines_to_messages(
         F.lit(None).cast("timestamp").alias("ts"),
         F.lit(None).cast("bigint").alias("seq"),
         "reason",
-        F.encode("value", "UTF-8").alias("data"),
+        F.col("value").alias("data"),
     )
     return messages, rejects
 

@@ -141,7 +141,8 @@ def _moment(x: Column) -> Column:
 def defragment_session(
     fragments: DataFrame, expire: str = DEFAULT_EXPIRE, watermark_delay: str = DEFAULT_DISORDER
 ) -> DataFrame:
-    """Built-ins only: one row per generation, when its session closes.
+    """Built-ins only: one row per generation, when its session closes. A message of one
+    fragment has no session to wait for and leaves at once, whatever sizes it declares.
 
     The rules are those of the batch operator, written as array functions over the
     fragments of the session. Each step is linear in their number but for the sorts.
@@ -151,8 +152,9 @@ def defragment_session(
         "ts", "seq", "fragment_index", "fragment_count", "fragment_size", "total_length",
         "msg_hash", "tags", "payload",
     )
+    marked = fragments.withWatermark("ts", watermark_delay)
     sessions = (
-        fragments.withWatermark("ts", watermark_delay)
+        marked.where(F.col("fragment_count") > 1)
         .groupBy(*key, F.session_window("ts", expire).alias("session"))
         .agg(F.array_sort(F.collect_list(entry)).alias("_all"))
         .withColumn("_first", F.col("_all")[0])
@@ -179,7 +181,7 @@ def defragment_session(
 
     tagged = F.filter("_valid", lambda x: x["tags"].isNotNull() & in_time(x))
     complete = F.size("_firsts") == first["fragment_count"]
-    return (
+    several = (
         sessions.withColumn("_valid", F.filter("_all", is_valid))
         .withColumn("_sorted", F.array_sort(F.transform("_valid", by_index)))
         .withColumn("_firsts", _run_start("_sorted", "fragment_index"))
@@ -208,6 +210,24 @@ def defragment_session(
             ).alias("payload"),
         )
     )
+    return several.unionByName(_single_sessions(marked, key, duration_us(expire)))
+
+
+def _single_sessions(fragments: DataFrame, key: list[str], expire_us: int) -> DataFrame:
+    """Single-fragment messages in the layout of :func:`defragment_session`."""
+    end = F.timestamp_micros(F.unix_micros("ts") + expire_us)
+    return fragments.where(F.col("fragment_count") == 1).select(
+        *key,
+        F.struct(F.col("ts").alias("start"), end.alias("end")).alias("session"),
+        "fragment_count",
+        "total_length",
+        "msg_hash",
+        F.lit(True).alias("complete"),
+        F.lit(0).alias("late_duplicates"),
+        F.array().cast("array<int>").alias("missing"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        "payload",
+    )
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
