@@ -350,6 +350,8 @@ def _compare(rows: DataFrame, candidates: DataFrame, threshold: float, tolerance
     wanted = candidates.select(
         "digest", F.col("first_id").alias("doc_id"), F.struct(*candidates.columns).alias("asked")
     )
+    # sorted and merged at every size: the wanted ids grow with the corpus
+    wanted = wanted.hint("merge")
     texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.doc_id)).select("digest", "text")
     sets = texts.mapInArrow(_gather, "digest binary, members binary")
     placed = _blocks(candidates).select(
