@@ -125,15 +125,18 @@ def test_unsendable(spark):
     assert [r.reason for r in found] == ["empty", "tags_too_large", "too_many_fragments"]
     with pytest.raises(ValueError):
         packetize(_messages(spark, rows), 24)
+    for options in ({"max_fragment_size": 65560}, {"max_fragment_size": 99, "size_field": 65536}):
+        with pytest.raises(ValueError):
+            packetize(_messages(spark, rows), **options)
 
 
 def test_chunks(spark):
-    wit = b"Brevity is the soul of wit"
-    rows = _messages(spark, [(b"12345678", None), (wit, None), (b"", None)])
+    text = b"twenty bytes of text, and more"
+    rows = _messages(spark, [(b"12345678", None), (text, None), (b"", None)])
     eight = valid_fragments(chunk(rows.where("msg_id <> 2"), 8)).collect()
     assert [(r.msg_id, bytes(r.payload)) for r in eight] == [(1, b"12345678")]
     twenty = valid_fragments(chunk(rows.where("msg_id = 2"), 20)).orderBy("fragment_index")
-    assert [bytes(r.payload) for r in twenty.collect()] == [b"Brevity is the soul ", b"of wit"]
+    assert [bytes(r.payload) for r in twenty.collect()] == [text[:20], text[20:]]
     for bad in (0, 65483):
         with pytest.raises(ValueError):
             chunk(rows, bad)

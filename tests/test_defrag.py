@@ -19,11 +19,19 @@ def _outcome(result):
         (r.sender_port, r.msg_id, r.generation, r.touches, tuple(sorted(r.missing)))
         for r in result.incomplete.collect()
     )
+    assert sorted(_opened(result.generations)) == sorted(set(_opened(result.generations)))
     invalid = sorted(r.seq for r in result.invalid.collect())
     late = sorted(r.seq for r in result.late_duplicates.collect())
     return messages, incomplete, invalid, late
 
 
+def _opened(generations):
+    return [
+        (r.sender_port, r.msg_id, r.generation, str(r.first_ts), r.first_seq)
+        for r in generations.collect()
+    ]
+
+
 def _run(packets, **options):
     return defragment(valid_fragments(packets), **options)
 
@@ -140,11 +148,51 @@ def test_equals_sequential_model(spark, packets_of, seed):
     assert _outcome(spread) == expected
     everything = defragment(shuffled, "1 second", hot_keys=find_hot_keys(shuffled, 0))
     assert _outcome(everything) == expected
+    usual = defragment(shuffled, "1 second")
+    assert sorted(_opened(everything.generations)) == sorted(_opened(usual.generations))
+    assert sorted(_opened(spread.generations)) == sorted(_opened(usual.generations))
+
+
+def _statuses(result):
+    return [
+        sorted((r.sender_host or "", r.fragment_index, r.seq) for r in rows.collect())
+        for rows in (result.invalid, result.late_duplicates)
+    ]
+
+
+def test_ties_and_missing_hosts_are_the_same_either_way(spark, packets_of):
+    digest = murmur3(b"abcd")
+    first, second = fragment(2, 0, 2, 3, 4, digest, b"ab"), fragment(2, 1, 2, 3, 4, digest, b"cd")
+    bad = fragment(2, 1, 2, 3, 4, 5, b"cd")
+    rows = packets_of([(9, 0, first), (9, 100, first), (9, 150, bad), (9, 150, bad), (9, 200, second), (9, 300, second), (9, 300, second)])
+    tied = rows.withColumn("seq", F.when(F.col("seq").isin(3, 6), F.col("seq") - 1).otherwise(F.col("seq")))
+    for packets in (tied, tied.withColumn("sender_host", F.lit(None).cast("string"))):
+        fragments = valid_fragments(packets)
+        ways = [defragment(fragments), defragment(fragments, hot_keys=find_hot_keys(fragments, 2))]
+        assert [_statuses(w) for w in ways] == [_statuses(ways[0])] * 2
+        assert [len(x) for x in _statuses(ways[0])] == [2, 2]
+        assert _opened(ways[0].generations) == _opened(ways[1].generations)
+        assert ways[0].generations.first().first_seq == 0
+        assert [bytes(r.payload) for w in ways for r in w.messages.collect()] == [b"abcd"] * 2
+
+
+def test_keys_are_crowded_by_bytes_too(spark, packets_of):
+    rows = [(9, n, fragment(9, n, 100, 1, 900, 0, b"x" * 100)) for n in range(3)]
+    fragments = valid_fragments(packets_of(rows + [(8, 9, fragment(9, 0, 1, 1, 9, 0, b"x"))]))
+    assert [r.sender_port for r in find_hot_keys(fragments, 100, min_bytes=299).collect()] == [9]
+    assert find_hot_keys(fragments, 100, min_bytes=300).count() == 0
+
+
+def test_single_fragments_need_no_assembly(spark, packets_of):
+    fragments = valid_fragments(packets_of([(9, 0, fragment(1, 0, 99, 5, 77, murmur3(b"hi"), b"hi"))]))
+    result = defragment(fragments)
+    assert [bytes(r.payload) for r in result.messages.collect()] == [b"hi"]
+    assert result.invalid.count() == result.generations.count() == 0
 
 
 def test_no_hot_keys_means_the_usual_plan(spark, packets_of):
     fragments = valid_fragments(packets_of(_random_rows(3, rows=50)))
-    result = defragment(fragments, "1 second", hot_keys=find_hot_keys(fragments, 10**6))
+    result = defragment(fragments, "1 second", hot_keys=find_hot_keys(fragments, 10**6), singles=False)
     assert "Union" not in result.messages._jdf.queryExecution().optimizedPlan().toString()
 
 

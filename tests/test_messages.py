@@ -70,6 +70,16 @@ def test_lines(spark, tmp_path):
         lines_to_messages(spark.range(1).selectExpr("'' AS value"), "tcp", reserved="no")
 
 
+def test_lines_keep_bytes_that_are_no_utf8(spark):
+    rows = [(bytearray(b"caf\xe9 ok\r"),), (bytearray(b"\xff" * 8),), (bytearray(b"\r"),), (bytearray(b""),), (bytearray(b"\0x"),)]
+    lines = spark.createDataFrame(rows, "value binary").select(F.col("value").cast("string").alias("value"))
+    messages, rejects = lines_to_messages(lines, "tcp", max_line=7, reserved="reject")
+    assert sorted(bytes(r.payload) for r in messages.collect()) == [b"", b"", b"caf\xe9 ok"]
+    assert sorted((r.reason, bytes(r.data)) for r in rejects.collect()) == [
+        ("line_too_long", b"\xff" * 8), ("reserved_line", b"\0x"),
+    ]
+
+
 def test_events(spark):
     good = {"type": "a", "uuid": "u", "host": "h", "timestamp": 1700000000123, "data": {"x": [1, "y"]}}
     texts = [json.dumps(good), json.dumps({**good, "type": "b"}), "{nonsense", "plain"]

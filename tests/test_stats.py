@@ -7,12 +7,14 @@ from wirelog.operators.decode import valid_fragments
 from wirelog.operators.defrag import defragment
 from wirelog.operators.stats import (
     counters,
+    dropped_histogram,
     loss_histogram_2d,
     size_profile,
     stats_json,
     triangle,
 )
-from wirelog.plans.decode_capture import decode_capture
+from wirelog.plans.decode_capture import decode_capture, decode_listeners
+from wirelog.plans.handlers import Reverse, Truncate, apply_handlers, handlers_column
 from wirelog.streaming.stats import rate
 
 
@@ -91,7 +93,54 @@ def test_statistics_document(spark, packets_of):
     assert shown["v0_invalid_fragments"][2][1] == 1
     assert shown["dropped_fragments"][2][1:3] == [1, 1]
     assert shown["defragmenter"] == {"evictions": 1, "hits": 2, "misses": 2}
-    assert shown["handlers"] == [] and shown["holes_from_new_message"] == 0
+    assert shown["handlers"] == []
+    assert shown["holes_from_new_message"] == shown["holes_from_dead_port"] == 0  # ids 1 to 4
+
+
+def _singles(packets_of, ids, port=9):
+    return packets_of([(port, n, fragment(1, 0, 2, i, 2, murmur3(b"hi"), b"hi")) for n, i in enumerate(ids)])
+
+
+def test_holes_reach_the_document(spark, packets_of):
+    packets = _singles(packets_of, range(3, 120, 3))
+    found = json.loads(stats_json(decode_capture(packets).statistics).first().stats)
+    # 39 ids, 38 gaps of 2; the ten ids still remembered at the end hold nine of them
+    assert (found["holes_from_new_message"], found["holes_from_dead_port"]) == (58, 18)
+    off = json.loads(stats_json(decode_capture(packets, detect_holes=False).statistics).first().stats)
+    assert (off["holes_from_new_message"], off["holes_from_dead_port"]) == (0, 0)
+
+
+def test_listeners_have_their_own_settings(spark, packets_of):
+    whole = murmur3(b"abcd")
+    halves = [(9, 0, fragment(2, 0, 2, 3, 4, whole, b"ab")), (9, 5000, fragment(2, 1, 2, 3, 4, whole, b"cd"))]
+    packets = packets_of(halves)
+    both = packets.unionByName(packets.withColumn("listener", F.lit("quick")))
+    capture = decode_listeners(both, {"quick": {"expire": "1 second", "detect_holes": False}}, {"expire": "10 seconds"})
+    assert [(r.listener, bytes(r.payload)) for r in capture.messages.collect()] == [("udp", b"abcd")]
+    rows = {r.listener: r.defragmenter.evictions for r in capture.statistics.collect()}
+    assert rows == {"quick": 2, "udp": 0}
+
+
+def test_dropped_histogram_equals_listing(spark):
+    rows = [("udp", n, sorted(set(range(0, n, k)) - {0})) for n, k in [(2, 1), (9, 2), (300, 7), (65535, 1000)]]
+    frame = spark.createDataFrame(rows, "listener string, n int, indices array<int>").select(
+        "listener", "indices", F.struct(F.col("n").alias("fragment_count")).alias("first_header"), F.size("indices").alias("received")
+    )
+    expected = {}
+    for _, n, indices in rows:
+        for i in set(range(n)) - set(indices):
+            cell = ((n - 1).bit_length(), i.bit_length())
+            expected[cell] = expected.get(cell, 0) + 1
+    found = {(r.count_log2, r.index_log2): r.fragments for r in dropped_histogram(frame).collect()}
+    assert found == expected
+
+
+def test_handlers_stand_in_the_document(spark, packets_of):
+    capture = decode_capture(_capture(packets_of))
+    chain = apply_handlers(capture.messages, [Truncate(1), Reverse()])
+    assert chain.messages.count() == 3
+    shown = json.loads(stats_json(capture.statistics, handlers_column(chain.stats())).first().stats)
+    assert shown["handlers"] == [{"name": "truncate", "seen_messages": 3}, {"name": "reverse"}]
 
 
 def test_size_profile(spark):

@@ -55,6 +55,17 @@ class HandlerChain:
         ]
 
 
+def handlers_column(stats: list[dict]) -> Column:
+    """What :meth:`HandlerChain.stats` or a sink reports, for ``stats_json``."""
+    names = ["name", *sorted({name for one in stats for name in one} - {"name"})]
+    kinds = {name: "string" if name == "name" else "bigint" for name in names}
+    rows = [
+        F.struct(*[F.lit(one.get(name)).cast(kinds[name]).alias(name) for name in names]) for one in stats
+    ]
+    shape = ", ".join(f"{name}: {kinds[name]}" for name in names)
+    return F.array(*rows).cast(f"array<struct<{shape}>>")
+
+
 def apply_handlers(messages: DataFrame, handlers: list[Handler]) -> HandlerChain:
     """Run handlers in order. Their statistics are observed on what enters each of them;
     a handler without any shows up with its name only."""
