@@ -54,6 +54,14 @@ def test_encryption(spark, mode, length):
         decrypt(sealed, "another key 1234", mode).collect()
 
 
+def test_key_is_in_no_plan(spark):
+    frame = encrypt(spark.createDataFrame([(bytearray(b"x"),)], "payload binary"), "0123456789abcdef")
+    query = frame._jdf.queryExecution()
+    frame.collect()
+    for plan in (query.toString(), query.executedPlan().treeString(), query.logical().toJSON(), query.optimizedPlan().toJSON()):
+        assert "0123456789abcdef" not in plan and "30313233" not in plan
+
+
 def test_lines(spark, tmp_path):
     path = tmp_path / "lines.txt"
     path.write_bytes("one\ntwo\r\n\nlonger é\n\0reserved\nend".encode())
