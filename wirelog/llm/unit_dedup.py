@@ -135,7 +135,8 @@ def remove_passages(
     joined = docs.join(
         spans.withColumnRenamed("doc_id", "_span_id"), named(id_column).eqNullSafe(F.col("_span_id")), "left"
     )
-    place, columns = docs.columns.index(text_column), len(docs.columns)
+    names_of, place = list(docs.columns), docs.columns.index(text_column)
+    columns = len(names_of)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +151,7 @@ def remove_passages(
             parts = batch.columns[:columns]
             parts[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(
-                [*parts, pa.array(names, pa.string())], names=[*docs.columns, "removed_spans"]
+                [*parts, pa.array(names, pa.string())], names=[*names_of, "removed_spans"]
             )
 
     return joined.mapInArrow(cut, docs.schema.add("removed_spans", "string"))
