@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelog.llm.frames import named
+from wirelog.llm.frames import Scratch, named
 
 MIN_WORDS = 25
 _UNITS_PER_BATCH = 20_000
@@ -77,6 +77,7 @@ def repeated_passages(
     text_column: str = "text",
     unit: str = "sentence",
     min_words: int = MIN_WORDS,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per removed passage: where it lies and which document keeps its first unit.
 
@@ -88,16 +89,19 @@ def repeated_passages(
     rows = docs.select(named(id_column).alias("doc_id"), named(text_column).alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
+    scratch = scratch or Scratch(docs.sparkSession, "unit-dedup")
     kind = rows.schema["doc_id"].dataType.simpleString()
     units = rows.mapInArrow(
         _cutter(unit), f"doc_id {kind}, unit int, start bigint, end bigint, words int, digest binary"
     )
     seen = F.struct("doc_id", "start")
-    first = (
+    # Written, so that the join below shuffles both sides anew and can split a common unit.
+    first = scratch.store(
         units.groupBy("digest")
         .agg(F.min(seen).alias("kept"), F.max(seen).alias("last"))
         .where("kept <> last")
-        .select("digest", "kept")
+        .select("digest", "kept"),
+        "repeated",
     )
     removable = (
         units.join(first, "digest")
