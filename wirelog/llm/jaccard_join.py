@@ -288,9 +288,9 @@ def near_duplicates(
 def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Classes that share a bucket with another, with their neighbourhood ``comp``."""
     rows = classes.select("key", F.explode("bands").alias("bucket"))
-    buckets = (
-        rows.groupBy("bucket").agg(F.min("key").alias("b"), F.max("key").alias("most")).where("b <> most")
-    )
+    shared = rows.groupBy("bucket").agg(F.min("key").alias("b"), F.max("key").alias("most")).where("b <> most")
+    # Written, so that the join shuffles both sides anew and can split a crowded bucket.
+    buckets = scratch.store(shared.select("bucket", "b"), "buckets")
     edges = rows.join(buckets, "bucket").where("key <> b").select(F.col("key").alias("a"), "b").distinct()
     found = connected_components(edges, scratch)
     return scratch.store(
