@@ -16,8 +16,7 @@ from wirelog.llm.frames import Scratch
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rated = quality.rate_quality(docs.select(*docs.columns, F.col("text").alias("_rated")), labels, text_column="_rated")
-    return rated.where("kept").select(*docs.columns)
+    return quality.keep_good(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = jaccard_join.near_duplicates(docs)
     others = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         redacted = redacted.withColumn("n_chars", F.length("text").cast(kind))
-    return redacted.select(*docs.columns)
+    return redacted
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

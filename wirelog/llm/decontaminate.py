@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelog.llm.frames import named
+from wirelog.llm.frames import named, packed, unpacked
 from wirelog.llm.hashing import mix, pieces, word_hashes
 
 MASKS = ("111101111", "11011011011", "111001001111", "101110011101")
@@ -212,17 +212,18 @@ def drop_leaking(
     max_substituted: float = MAX_SUBSTITUTED,
 ) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text holds no benchmark stretch."""
-    kept = docs
+    kept = packed(docs, text=named(text_column).cast("string"))
+    schema = kept.schema
     for block in _blocks(benchmark, item_column, "text", min_tokens, max_substituted):
-        kept = kept.mapInArrow(_filter(block, docs.columns.index(text_column)), docs.schema)
-    return kept
+        kept = kept.mapInArrow(_filter(block), schema)
+    return unpacked(kept, docs.columns)
 
 
-def _filter(block: Block, place: int):
+def _filter(block: Block):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)
-            for found in overlaps(batch.column(place), block):
+            for found in overlaps(batch.column("text"), block):
                 clean[found[0]] = False
             yield batch.filter(pa.array(clean))
 

@@ -113,9 +113,24 @@ def rate_quality(
     rated alike (each counts in the corpus); rows keep their order of columns, and input
     columns named like a result are replaced; an empty table gives an empty result.
     """
+    names = keep or docs.columns
+    return unpacked(_rated(docs, labels, id_column, text_column, threshold, names), names, OUTPUTS)
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`rate_quality` keeps, all columns unchanged."""
+    rated = _rated(docs, labels, id_column, text_column, threshold, docs.columns)
+    return unpacked(rated.where("kept"), docs.columns)
+
+
+def _rated(
+    docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, threshold: float, names: list[str]
+) -> DataFrame:
+    """Rows packed in ``_row`` with the results beside it."""
     texts = docs.select(named(text_column).alias("text"))
     ratios = ratio_table(texts, trusted_documents(docs, labels, id_column, text_column))
-    names = keep or docs.columns
     text = F.coalesce(named(text_column), F.lit(""))
     rows = packed(docs.select(*[named(c) for c in dict.fromkeys([*names, text_column])]), _text=text)
     rows = rows.withColumn("_words", words_of(F.col("_text")))
@@ -132,4 +147,4 @@ def rate_quality(
     rows = _repeats(_hashed(rows)).withColumn("llr", F.round(_score(ratios), 6))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return unpacked(settled(rows.select("_row", *OUTPUTS)), names, OUTPUTS)
+    return settled(rows.select("_row", *OUTPUTS))

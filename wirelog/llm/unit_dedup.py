@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelog.llm.frames import Scratch, named
+from wirelog.llm.frames import Scratch, named, packed
 
 MIN_WORDS = 25
 _UNITS_PER_BATCH = 20_000
@@ -135,27 +135,25 @@ def remove_passages(
 
     ``removed_spans`` lists ``start:end`` in the original text, comma-joined, or is empty.
     """
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(
-        spans.withColumnRenamed("doc_id", "_span_id"), named(id_column).eqNullSafe(F.col("_span_id")), "left"
-    )
-    names_of, place = list(docs.columns), docs.columns.index(text_column)
-    columns = len(names_of)
+    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = packed(docs, id=id_column, text=text_column)
+    joined = rows.join(spans, rows.id.eqNullSafe(spans.doc_id), "left").select("_row", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, names = [], []
-            for text, found in zip(batch.column(place).to_pylist(), batch.column(columns + 1).to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 kept, at = [], 0
                 for span in found or ():
                     kept.append(text[at : span["start"]])
                     at = span["end"]
                 texts.append(text if text is None else "".join(kept) + text[at:])
                 names.append(",".join(f"{s['start']}:{s['end']}" for s in found or ()))
-            parts = batch.columns[:columns]
-            parts[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(
-                [*parts, pa.array(names, pa.string())], names=[*names_of, "removed_spans"]
+                [batch.column("_row"), pa.array(texts, pa.string()), pa.array(names, pa.string())],
+                names=["_row", "text", "removed_spans"],
             )
 
-    return joined.mapInArrow(cut, docs.schema.add("removed_spans", "string"))
+    done = joined.mapInArrow(cut, joined.select("_row", "text").schema.add("removed_spans", "string"))
+    kept = [(F.col("text") if c == text_column else named(c, "_row")).alias(c) for c in docs.columns if c != "removed_spans"]
+    return done.select(*kept, "removed_spans")
