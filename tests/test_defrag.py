@@ -187,7 +187,7 @@ def test_single_fragments_need_no_assembly(spark, packets_of):
     fragments = valid_fragments(packets_of([(9, 0, fragment(1, 0, 99, 5, 77, murmur3(b"hi"), b"hi"))]))
     result = defragment(fragments)
     assert [bytes(r.payload) for r in result.messages.collect()] == [b"hi"]
-    assert result.invalid.count() == result.generations.count() == 0
+    assert result.invalid.count() == result.incomplete.count() == 0
 
 
 def test_no_hot_keys_means_the_usual_plan(spark, packets_of):

@@ -162,23 +162,27 @@ def defragment(
     """Reassemble ``fragments``; see :class:`Reassembly` for the outputs.
 
     ``hot_keys`` comes from :func:`find_hot_keys`. Single-fragment messages need no assembly:
-    with ``singles`` they stand in ``messages`` as :func:`single_messages` gives them, and in
-    no other output. Each part is assembled before the union,
+    with ``singles`` they stand in ``messages`` as :func:`single_messages` gives them, are
+    neither incomplete nor invalid whatever they declare, and still count in ``generations``;
+    input without any saves that with ``singles=False``. Each part is assembled before the union,
     so the usual part keeps its partitioning. Checksums are not judged here, see
     :func:`verify_checksum`.
     """
     key = key or message_key()
-    parts = _staged_parts(fragments.where("fragment_count <> 1"), expire, key, hot_keys)
+    parts = _staged_parts(fragments, expire, key, hot_keys)
     assembled = _union(assemble(part, key) for part in parts)
     counted = _union(assemble(part, key, payload=False) for part in parts)
     staged = _union(parts)
-    messages = _complete_messages(assembled, key)
+    several = F.col("first_header.fragment_count") > 1 if singles else F.lit(True)
+    messages = _complete_messages(assembled.where(several), key)
+    invalid = staged.where(F.col("status") == "invalid")
     if singles:
         messages = messages.unionByName(single_messages(fragments).select(messages.columns))
+        invalid = invalid.where(F.col("fragment_count") > 1)
     return Reassembly(
         messages=messages,
-        incomplete=_incomplete_messages(counted, key),
-        invalid=staged.where(F.col("status") == "invalid"),
+        incomplete=_incomplete_messages(counted.where(several), key),
+        invalid=invalid,
         late_duplicates=staged.where(F.col("status") == "late_duplicate"),
         generations=counted,
     )
