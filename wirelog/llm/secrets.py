@@ -74,7 +74,7 @@ def scan_secrets(
         F.xxhash64(F.struct(owner.alias("o"))).alias("owner"),
         F.xxhash64(F.struct(repository.alias("r"))).alias("repository"),
     ).distinct()
-    ownership = (
+    ownership = scratch.store(
         matches.select("key", "value")
         .distinct()
         .join(carriers, "key")
@@ -83,7 +83,8 @@ def scan_secrets(
         .groupBy("value", "owner")
         .agg(F.count("*").alias("repositories"))
         .groupBy("value")
-        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")),
+        "ownership",
     )
     copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("repositories") >= COPIED_REPOSITORIES)
     judged = scratch.store(
@@ -106,6 +107,8 @@ def scan_secrets(
     of_text = (
         numbers.join(listed(base, order, "base"), "key", "left").join(listed(spans, order, "spans"), "key", "left")
     )
+    # Written, so that the join with the rows can split a text that very many rows have.
+    of_text = scratch.store(of_text, "texts")
     names = keep or docs.columns
     rows = packed(docs.select(*[named(c) for c in dict.fromkeys([*names, text_column])]), key=text_key(named(text_column)))
     rows = rows.select(F.struct(*[named(c, "_row").alias(c) for c in names]).alias("_row"), "key")
