@@ -184,11 +184,14 @@ def extract_pii(
     counts as empty: no spans. Repeated rows get the same answer; input columns named like a
     result are replaced; an empty table gives an empty result.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "pii")
     base, found = find_pii(docs, text_column, scratch)
     order = F.struct(_kind_number(F.col("kind")), F.col("start"), F.col("end"))
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS]
     of_base = listed(base, order, "base").join(base.groupBy("key").agg(*counts), "key")
     of_all = of_base.join(listed(base.unionByName(found), order, "spans"), "key", "full_outer")
+    # Written, so that the join with the rows can split a text that very many rows have.
+    of_all = scratch.store(of_all, "texts")
     names = keep or docs.columns
     rows = packed(docs.select(*[named(c) for c in dict.fromkeys([*names, text_column])]), key=text_key(named(text_column)))
     rows = rows.select(F.struct(*[named(c, "_row").alias(c) for c in names]).alias("_row"), "key")
@@ -211,8 +214,10 @@ def redact_pii(docs: DataFrame, text_column: str = "text", scratch: Scratch | No
     Discovered spans are replaced at their places, then each pattern's valid matches, kind by
     kind, by splitting and joining the text. Null texts stay null; all columns stay.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "pii")
     _, found = find_pii(docs, text_column, scratch)
     per_text = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts"))
+    per_text = scratch.store(per_text, "cuts")
     rows = packed(docs, _text=text_column, key=text_key(named(text_column)))
     joined = rows.join(per_text, "key", "left")
     before = lambda i: F.coalesce(F.get(F.col("_cuts"), i - 1)["end"], F.lit(0))
