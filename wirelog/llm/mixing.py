@@ -20,7 +20,7 @@ from wirelog.llm.frames import Scratch, named, words_of
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-BLOCK_WORDS = 256
+BLOCK_WORDS = 128
 SHARD_WORDS = 1 << 20
 SHARD_ROWS = 1 << 16
 SEED = 17
