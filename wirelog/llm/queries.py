@@ -9,6 +9,7 @@ from wirelog.llm import (
     decontaminate,
     jaccard_join,
     mixing,
+    oracles,
     pii,
     quality,
     secrets,
@@ -81,4 +82,4 @@ QUERIES = {
         op8_decontamination, op9_mixing, op10_unit_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_jaccard_join": oracles.JACCARD_JOIN, "op7_warc": oracles.WARC}
