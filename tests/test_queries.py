@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog import all_queries
 from check_oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -17,12 +18,19 @@ SAMPLE = [
     "loss_report",
     "key_group_partition",
     "stats_json",
+    "lines",
+    "write_text",
+    "session_singles",
+    "loss_report_nulls",
+    "defragment_paths_spread",
     "rates",
 ]
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries.QUERIES) == set(all_queries.ORACLES)
+    assert set(all_queries.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
