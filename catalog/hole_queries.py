@@ -8,6 +8,7 @@ from catalog import fixtures as X
 from catalog.registry import DOCS, IDS, query
 from wirelog.operators.decode import valid_fragments
 from wirelog.operators.defrag import defragment
+from wirelog.operators.encode import packetize
 from wirelog.operators.holes import (
     gaps_at_expiry,
     gaps_exact,
@@ -18,6 +19,7 @@ from wirelog.operators.holes import (
     sender_leases,
     top_ids,
 )
+from wirelog.plans.decode_capture import decode_capture
 
 FOREVER = "36500 days"
 
@@ -112,6 +114,35 @@ def at_expiry(spark, sf_dir):
     return found.select("sender_port", F.col("holes").cast("bigint").alias("holes"))
 
 
+@query(
+    "capture_holes",
+    IDS
+    + TRACK_SQL.format(5)
+    + """, ends AS (
+  SELECT list_transform(range(1, len(recent)), lambda p: recent[p + 1] - recent[p] - 1) AS sizes
+  FROM track QUALIFY pos = max(pos) OVER (PARTITION BY sender_port)
+)
+SELECT 'udp' AS listener, CAST((SELECT sum(hole) FROM track) AS BIGINT) AS holes_from_new_message,
+ CAST((SELECT sum(list_sum(list_filter(sizes, lambda s: s BETWEEN 1 AND 10))) FROM ends) AS BIGINT)
+ AS holes_from_dead_port, CAST((SELECT count(*) FROM track) AS BIGINT) AS v0_multipart_messages,
+ CAST(0 AS BIGINT) AS misses, CAST((SELECT count(*) FROM track) AS BIGINT) AS fragments""",
+)
+def holes_of_a_capture(spark, sf_dir):
+    """The detector inside the decode job, as its statistics show it."""
+    payload = F.encode(F.concat(F.lit("m"), F.col("msg_id").cast("string")), "UTF-8")
+    messages = X.event_ids(spark, sf_dir, resets=True).withColumn("payload", payload)
+    packets = packetize(messages, X.FRAGMENT)
+    rows = decode_capture(packets, idle=FOREVER, ids_per_port=5).statistics
+    return rows.select(
+        "listener",
+        "holes_from_new_message",
+        "holes_from_dead_port",
+        "v0_multipart_messages",
+        "defragmenter.misses",
+        F.aggregate("v0_fragments", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("fragments"),
+    )
+
+
 @query(
     "sender_leases",
     IDS
