@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as X
 from catalog.registry import DOCS, query
 from wirelog.operators.compat import defragment_compat
-from wirelog.operators.decode import message_key, valid_fragments
+from wirelog.operators.decode import message_key, split_single_multi, valid_fragments
 from wirelog.operators.defrag import (
     defrag_cache_stats,
     defragment,
@@ -254,7 +254,7 @@ def _both_paths(spark, sf_dir, min_rows):
     )
     late = (F.unix_micros("ts") - X.BASE_US) == F.col("doc_id") * 1000000 + 1000000
     twice = packets.where(late & (F.col("doc_id") % 2 == 0) & (F.col("fragment_index") == 0) & (F.col("doc_id") % 31 == 0))
-    fragments = valid_fragments(packets.unionByName(twice))
+    _, fragments = split_single_multi(valid_fragments(packets.unionByName(twice)))
     hot = None if min_rows is None else find_hot_keys(fragments, min_rows)
     result = defragment(fragments, hot_keys=hot, singles=False)
     messages = result.generations.where(is_complete()).select(
