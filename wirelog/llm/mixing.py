@@ -161,7 +161,8 @@ def mix_sources(
     at = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("source", "shard", "block")]
     overlap = F.least("end", (F.col("d.block") + 1) * block_words) - F.greatest(F.col("end") - F.col("size"), F.col("d.block") * block_words)
     taken = (
-        pieces.alias("d").join(times.alias("t"), at)
+        # one row per block of the corpus: merged, for its size cannot be told from its source
+        pieces.alias("d").join(times.alias("t").hint("merge"), at)
         .groupBy("d.source", "d.shard", "doc_id", "size", "end")
         .agg(F.sum(overlap * F.col("times")).alias("taken"))
     )
