@@ -1,5 +1,8 @@
 import random
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from helpers import docs_of, prose
 from pyspark.sql import functions as F
 
@@ -71,3 +74,44 @@ def test_repeats_clashes_and_empty_tables(spark):
     assert decontaminate.find_leaks(docs.where("false"), items).count() == 0
     assert decontaminate.find_leaks(docs, items.where("false")).count() == 0
     assert decontaminate.drop_leaking(docs, items.where("false")).columns == docs.columns
+
+
+def brute_stretch(same, least, share):
+    """The same by trying every stretch: most matches, shortest, earliest."""
+    found = [
+        (-sum(same[a:b]), b - a, a)
+        for a in range(len(same)) for b in range(a + least, len(same) + 1)
+        if b - a - sum(same[a:b]) <= share * (b - a) + 1e-9 and any(same[a:b])
+    ]
+    return min(found) if found else None
+
+
+def test_stretches_equal_brute_force():
+    draw = random.Random(3)
+    for _ in range(600):
+        same = [draw.random() < draw.choice((0.6, 0.8, 0.9)) for _ in range(draw.randrange(1, 45))]
+        least = draw.choice((5, 13))
+        found = decontaminate.best_stretch(np.array(same), least, 0.2)
+        expected = brute_stretch(same, least, 0.2)
+        assert (found is None) == (expected is None), same
+        if found:
+            assert (-found[2], found[1] - found[0]) == expected[:2], same
+            assert sum(same[found[0] : found[1]]) == found[2]
+
+
+def test_substitutions_anywhere_up_to_a_fifth_are_found():
+    """Every placement for 13 and 15 words, random ones beyond, inside other words."""
+    draw = random.Random(4)
+    for count in (13, 14, 15, 16, 19, 20, 25, 40):
+        item = prose(count, count)
+        block = decontaminate.build_block([0], [" ".join(item)], 13, 0.2)
+        placed = list(combinations(range(count), count // 5))
+        if len(placed) > 1000:
+            placed = [draw.sample(range(count), count // 5) for _ in range(1000)]
+        texts = [" ".join(["x", "y"] + [f"sub{i}" if i in at else w for i, w in enumerate(item)] + ["z"]) for at in placed]
+        found = {f[0] for f in decontaminate.overlaps(pa.array(texts, pa.large_string()), block)}
+        assert len(found) == len(texts), (count, len(texts) - len(found))
+        clean = " ".join(f"sub{i}" if i < count - 10 else w for i, w in enumerate(item))
+        over = " ".join(f"sub{i}" if i % 3 == 2 else w for i, w in enumerate(item))
+        for text in (clean, over):
+            assert not list(decontaminate.overlaps(pa.array([text], pa.large_string()), block))

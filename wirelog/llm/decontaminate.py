@@ -3,10 +3,10 @@
 Words are compared in lower case without ASCII punctuation. Each mask selects some places of a
 short window and ignores the others, so a replaced word at an ignored place does not hide the
 window. Masked windows of benchmark items are indexed; every masked window of every document
-is looked up, and around each hit both texts are laid side by side and the stretch grows in
-both directions as long as matches outweigh substitutions. A stretch counts when it has at
-least ``min_tokens`` words (or the whole item, if shorter) of which at most
-``max_substituted`` differ.
+is looked up, and at each hit both texts are laid side by side. They leak when any stretch of at
+least ``min_tokens`` words (or the whole item, if shorter) differs in at most a share of
+``max_substituted``. With the default limits every such stretch of 13 words or more holds a
+window of one of ``MASKS``, so none is missed.
 
 The items are dealt by hash into blocks of about ``BLOCK_TOKENS`` words. One block at a time
 is sent to the tasks, so what a task holds is bounded however large the benchmarks are; the
@@ -27,7 +27,12 @@ from pyspark.sql import functions as F
 from wirelog.llm.frames import named, packed, unpacked
 from wirelog.llm.hashing import mix, pieces, word_hashes
 
-MASKS = ("111101111", "11011011011", "111001001111", "101110011101")
+#: Four masks of eight words, and five of six that hit every stretch of 13 words or more of which
+#: a fifth at most differs: three parts of 13 words, two parts of 15 or the first six are clean.
+MASKS = (
+    "111101111", "11011011011", "111001001111", "101110011101",
+    "111111", "111000111", "111000000111", "111000000000111", "1111101",
+)
 MIN_TOKENS = 13
 MAX_SUBSTITUTED = 0.2
 #: Items of fewer words cannot be told from ordinary speech and are not looked for.
@@ -47,7 +52,7 @@ class Block:
     seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     table: np.ndarray
     min_tokens: int
-    penalty: float
+    max_substituted: float
 
 
 def normalised(texts: pa.Array) -> pa.Array:
@@ -69,7 +74,7 @@ def build_block(items: list, texts: list, min_tokens: int, max_substituted: floa
     tokens, starts = word_hashes(normalised(pa.array(texts, pa.large_string())))
     lengths = np.diff(starts)
     masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in MASKS]
-    span = max(int(m[-1]) + 1 for m in masks)
+    span = max(len(m) for m in MASKS[:4])
     short = sorted({int(n) for n in lengths if SHORTEST_ITEM <= n < span})
     table = np.zeros(1 << _TABLE_BITS, dtype=bool)
     seeds = []
@@ -86,20 +91,36 @@ def build_block(items: list, texts: list, min_tokens: int, max_substituted: floa
             order = np.argsort(h, kind="stable")
             seeds.append((places, h[order], p[order]))
             table[h >> np.uint64(64 - _TABLE_BITS)] = True
-    penalty = (1 - max_substituted) / max_substituted
-    return Block(items, tokens, starts, seeds, table, min_tokens, penalty)
+    return Block(items, tokens, starts, seeds, table, min_tokens, max_substituted)
 
 
-def _stretch(doc: np.ndarray, item: np.ndarray, shift: int, anchor: int, penalty: float) -> tuple[int, int, int]:
-    """Start, end and matches of the best stretch of ``item`` around place ``anchor``."""
-    low, high = max(0, -shift), min(len(item), len(doc) - shift)
-    same = doc[low + shift : high + shift] == item[low:high]
-    gain = np.where(same, 1.0, -penalty)
-    right = np.cumsum(gain[anchor - low :])
-    end = anchor + int(right.argmax()) + 1
-    left = np.cumsum(gain[: anchor - low][::-1])
-    begin = anchor - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
-    return begin, end, int(same[begin - low : end - low].sum())
+def best_stretch(same: np.ndarray, least: int, max_substituted: float) -> tuple[int, int, int] | None:
+    """Start, end and matches of the stretch of most matches, the shortest, then earliest of equals.
+
+    Of all stretches of ``same`` of at least ``least`` words of which at most a share of
+    ``max_substituted`` differs; the longest of them has the most matches.
+    """
+    count = len(same)
+    if count < least:
+        return None
+    matches = np.concatenate([[0], np.cumsum(same)])
+    places = np.arange(count + 1)
+    # a stretch i:j qualifies when slack[j] >= slack[i]
+    slack = np.round(max_substituted * places - (places - matches), 9)
+    highest = np.maximum.accumulate(slack[::-1])[::-1]
+    ends = np.searchsorted(-highest, -slack, side="right") - 1
+    begin = int((ends - places).argmax())
+    end = int(ends[begin])
+    if end - begin < least:
+        return None
+    matched = int(matches[end] - matches[begin])
+    if not matched:
+        return None
+    where = np.flatnonzero(same)
+    sizes = np.maximum(where[matched - 1 :] - where[: len(where) - matched + 1] + 1, least)
+    first = int(sizes.argmin())
+    begin = min(int(where[first]), count - int(sizes[first]))
+    return begin, begin + int(sizes[first]), matched
 
 
 def overlaps(texts: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
@@ -107,36 +128,33 @@ def overlaps(texts: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int
     for base, part in pieces(normalised(texts)):
         tokens, starts = word_hashes(part)
         text_of = np.repeat(np.arange(len(part)), np.diff(starts))
-        pairs = []
+        pairs = [np.empty((3, 0), np.int64)]
         for places, hashes, at in block.seeds:
             mine = seed_hashes(tokens, places)
             hits = np.flatnonzero(block.table[mine >> np.uint64(64 - _TABLE_BITS)])
             hits = hits[text_of[hits] == text_of[hits + int(places[-1])]]
             first = np.searchsorted(hashes, mine[hits])
-            last = np.searchsorted(hashes, mine[hits], side="right")
-            counts = last - first
+            counts = np.searchsorted(hashes, mine[hits], side="right") - first
             hits, first, counts = hits[counts > 0], first[counts > 0], counts[counts > 0]
-            begin = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(hits) else first
-            pairs.append((np.repeat(hits, counts), at[begin + np.arange(len(begin))]))
-        where = np.concatenate([p[0] for p in pairs]) if pairs else np.empty(0, np.int64)
-        places_of = np.concatenate([p[1] for p in pairs]) if pairs else np.empty(0, np.int64)
-        item_of = np.searchsorted(block.starts, places_of, side="right") - 1
+            begin = np.repeat(first - np.cumsum(counts) + counts, counts)
+            where, spots = np.repeat(hits, counts), at[begin + np.arange(len(begin))]
+            text, item = text_of[where], np.searchsorted(block.starts, spots, side="right") - 1
+            shifts = (where - starts[text]) - (spots - block.starts[item])
+            pairs.append(np.unique(np.stack([text, item, shifts]), axis=1))
         best: dict = {}
-        covered: dict = {}
-        for place, spot, item in sorted(zip(where.tolist(), places_of.tolist(), item_of.tolist())):
-            text = int(text_of[place])
-            origin, item_start = int(starts[text]), int(block.starts[item])
-            shift = (place - origin) - (spot - item_start)
-            if place < covered.get((text, item, shift), -1):
-                continue
-            doc = tokens[origin : int(starts[text + 1])]
-            words = block.tokens[item_start : int(block.starts[item + 1])]
-            begin, end, matched = _stretch(doc, words, shift, spot - item_start, block.penalty)
-            covered[text, item, shift] = origin + shift + end
-            length = end - begin
-            if length < min(block.min_tokens, len(words)) or (length - matched) * block.penalty > matched:
+        for text, item, shift in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
+            doc = tokens[starts[text] : starts[text + 1]]
+            words = block.tokens[block.starts[item] : block.starts[item + 1]]
+            low, high = max(0, -shift), min(len(words), len(doc) - shift)
+            stretch = best_stretch(
+                doc[low + shift : high + shift] == words[low:high],
+                min(block.min_tokens, len(words)),
+                block.max_substituted,
+            )
+            if stretch is None:
                 continue
-            found = (-matched, begin + shift, end + shift)
+            begin, end, matched = stretch
+            found = (-matched, begin + low + shift, end + low + shift)
             if found < best.get((text, item), (1,)):
                 best[text, item] = found
         for (text, item), (matched, begin, end) in sorted(best.items()):
