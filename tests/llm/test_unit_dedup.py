@@ -77,3 +77,35 @@ def test_repeats_null_ids_and_empty(spark):
     assert unit_dedup.repeated_passages(docs.where("false")).count() == 0
     clash = docs_of(spark, [text, text]).withColumnRenamed("lang", "digest")
     assert [(r.doc_id, r.start, r.end) for r in unit_dedup.repeated_passages(clash).collect()] == [(1, 0, len(text))]
+
+
+def test_short_units_and_passages_in_mid_sentence_go(spark):
+    passage = " ".join(sentences(77, 3))
+    own = ["".join(sentences(i, 1)) for i in range(900, 906)]
+    texts = [
+        f"{own[0]} {passage} {own[1]}",
+        f"unfinished words of the host {passage} {own[2]}",  # the first sentence merges with the host's
+        f"{own[3]} {passage[:-1]} and the host goes on.",  # the last one does
+        "Short one. Alpha beta gamma.",
+        "Short one. Alpha delta epsilon.",  # two words are no passage: the like beginning stays
+        f"{own[4]} {passage.split('. ')[1]}.",
+    ]
+    docs = docs_of(spark, texts)
+    found = unit_dedup.whole_passages(docs)
+    assert {r.doc_id: r.text.split() for r in unit_dedup.remove_passages(docs, found).collect()} == {
+        0: texts[0].split(), 1: f"unfinished words of the host {own[2]}".split(), 2: f"{own[3]}. and the host goes on.".replace("..", ".").split(),
+        3: texts[3].split(), 4: ["Alpha", "delta", "epsilon."], 5: own[4].split(),
+    }
+    counts = {r.doc_id: r.n_words for r in found.collect()}
+    assert counts == {1: len(passage.split()), 2: len(passage.split()), 4: 2, 5: len(passage.split(". ")[1].split())}
+    twice = unit_dedup.whole_passages(docs.union(docs)).collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, found.collect()))
+
+
+def test_passages_that_meet_share_no_word(spark):
+    a, b, c = "One two three four five.", "Alpha beta gamma delta epsilon zeta.", "Six seven eight nine ten."
+    cut = " ".join(b.split()[:4])
+    docs = docs_of(spark, [f"{a} {cut} other. Else. {' '.join(b.split()[1:])} {c}", f"{a} {b} {c}"])
+    rows = sorted((r.start, r.end) for r in unit_dedup.whole_passages(docs).where("doc_id = 1").collect())
+    assert rows and all(x[1] <= y[0] for x, y in zip(rows, rows[1:]))
+    assert sum(r.n_words for r in unit_dedup.whole_passages(docs).where("doc_id = 1").collect()) == 16

@@ -72,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    return unit_dedup.whole_passages(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -4,14 +4,16 @@ A passage that is pasted into the middle of a line has no line of its own, so th
 default a line's sentence (``unit="line"`` and ``unit="paragraph"`` keep whole lines, or blocks
 between blank lines). Units are lower-cased, their white space and ASCII punctuation removed, and
 hashed to 128 bits. Over all documents the occurrence with the least (doc_id, start) stays;
-later ones are removable. Removable units that follow each other form a passage, and passages
-of at least ``min_words`` words are removed: a short phrase that happens to recur is not a
-repeated passage.
+later ones are removable. Removable units that follow each other form a passage; all are
+removed, unless ``min_words`` asks for longer ones only. A passage that was pasted after
+unfinished text, or before some, shares a unit with it: ``whole_passages`` lets each passage grow
+over the words at its two ends that its first occurrence has there too.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 
 from wirelog.llm.frames import Scratch, named, packed
 
-MIN_WORDS = 25
+MIN_WORDS = 1
+#: Words of a partial unit that must agree: fewer are the like beginnings of different sentences.
+EDGE_WORDS = 3
 _UNITS_PER_BATCH = 20_000
 
 _UNITS = {
@@ -86,15 +90,30 @@ def repeated_passages(
     nothing is removed on their account. Rows that repeat an id and text are one document. Null and empty
     texts have no units; an empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(named(id_column).alias("doc_id"), named(text_column).alias("text")).where(
+    scratch = scratch or Scratch(docs.sparkSession, "unit-dedup")
+    return _told(_passages(_texts(docs, id_column, text_column), unit, min_words, scratch))
+
+
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(named(id_column).alias("doc_id"), named(text_column).alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
-    scratch = scratch or Scratch(docs.sparkSession, "unit-dedup")
+
+
+def _told(passages: DataFrame) -> DataFrame:
+    return passages.select(
+        "doc_id", "start", "end", "n_units", "n_words",
+        F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"),
+    )
+
+
+def _passages(rows: DataFrame, unit: str, min_words: int, scratch: Scratch) -> DataFrame:
+    """The passages; ``kept`` and ``kept_last`` are the first occurrences of their first and last unit."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     units = rows.mapInArrow(
         _cutter(unit), f"doc_id {kind}, unit int, start bigint, end bigint, words int, digest binary"
     )
-    seen = F.struct("doc_id", "start")
+    seen = F.struct("doc_id", "start", "end")
     # Written, so that the join below shuffles both sides anew and can split a common unit.
     first = scratch.store(
         units.groupBy("digest")
@@ -105,7 +124,7 @@ def repeated_passages(
     )
     removable = (
         units.join(first, "digest")
-        .where(F.struct("doc_id", "start") != F.col("kept"))
+        .where(F.struct("doc_id", "start") != F.struct("kept.doc_id", "kept.start"))
         .select("doc_id", "unit", "start", "end", "words", "kept")
         .distinct()
     )
@@ -119,11 +138,114 @@ def repeated_passages(
             F.count("*").alias("n_units"),
             F.sum("words").alias("n_words"),
             F.min_by("kept", "unit").alias("kept"),
+            F.max_by("kept", "unit").alias("kept_last"),
         )
         .where(F.col("n_words") >= min_words)
-        .select(
-            "doc_id", "start", "end", "n_units", "n_words",
-            F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"),
+    )
+
+
+_WORD = re.compile(r"\S+")
+
+
+def _side_words(unit: str):
+    """Per wanted place the words beside it, nearest first, up to the end of their unit."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, wanted = batch.column("doc_id"), batch.column("text"), batch.column("wanted")
+            for row in range(batch.num_rows):
+                text = texts[row].as_py()
+                spans = [(start, end) for start, end, _, _ in units_of(text, unit)]
+                starts, ends = [s[0] for s in spans], [s[1] for s in spans]
+                places, lefts, hashes, reaches = [], [], [], []
+                for place, left in sorted((w["place"], w["left"]) for w in wanted[row].as_py()):
+                    at = bisect_right(ends, place) - 1 if left else bisect_left(starts, place)
+                    words = []
+                    if 0 <= at < len(spans):
+                        for found in _WORD.finditer(text, *spans[at]):
+                            word = found.group().lower().translate(_PUNCTUATION)
+                            if word:
+                                value = xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
+                                words.append((value, found.start() if left else found.end()))
+                    places.append(place)
+                    lefts.append(left)
+                    words = words[::-1] if left else words
+                    hashes.append([w[0] for w in words])
+                    reaches.append([w[1] for w in words])
+                if places:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.take(pa.array([row] * len(places), pa.int64())),
+                            pa.array(places, pa.int64()),
+                            pa.array(lefts, pa.bool_()),
+                            pa.array(hashes, pa.list_(pa.int64())),
+                            pa.array(reaches, pa.list_(pa.int64())),
+                        ],
+                        names=["doc_id", "place", "left", "words", "reach"],
+                    )
+
+    return sides
+
+
+def whole_passages(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    unit: str = "sentence",
+    min_words: int = MIN_WORDS,
+    edge_words: int = EDGE_WORDS,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """``repeated_passages``, each grown over what it repeats of the units at its two ends.
+
+    A side grows by the words, ``edge_words`` or more, that stand there and beside the first
+    occurrence alike, at most to the end of the unit. ``n_words`` counts them; passages that
+    meet share no word.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "unit-dedup")
+    rows = _texts(docs, id_column, text_column)
+    runs = scratch.store(_passages(rows, unit, min_words, scratch), "passages")
+    sides = [("doc_id", "start", True), ("kept.doc_id", "kept.start", True), ("doc_id", "end", False), ("kept_last.doc_id", "kept_last.end", False)]
+    wanted = None
+    for doc, place, left in sides:
+        some = runs.select(F.col(doc).alias("doc_id"), F.col(place).alias("place"), F.lit(left).alias("left"))
+        wanted = some if wanted is None else wanted.union(some)
+    wanted = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "left")).alias("wanted"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    beside = rows.join(wanted, "doc_id").mapInArrow(
+        _side_words(unit), f"doc_id {kind}, place bigint, left boolean, words array<bigint>, reach array<bigint>"
+    )
+    # Rows that repeat an id are one document. Written, so that the joins can split a common first occurrence.
+    beside = scratch.store(beside.dropDuplicates(["doc_id", "place", "left"]), "sides")
+    for name, side in (("l", True), ("r", False)):
+        of = beside.where(F.col("left") == side)
+        doc, place = ("kept.doc_id", "kept.start") if side else ("kept_last.doc_id", "kept_last.end")
+        mine = of.select(F.col("doc_id"), F.col("place").alias("start" if side else "end"), F.col("words").alias(f"{name}_words"), F.col("reach").alias(f"{name}_reach"))
+        theirs = of.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), F.col("words").alias("_words"))
+        runs = runs.join(mine, ["doc_id", "start" if side else "end"], "left")
+        runs = runs.join(theirs, (F.col(doc) == F.col("_doc")) & (F.col(place) == F.col("_place")), "left")
+        differ = F.zip_with(f"{name}_words", "_words", lambda a, b: ~a.eqNullSafe(b))
+        at = F.array_position(differ, True)
+        common = F.coalesce(F.when(at == 0, F.size(differ)).otherwise(at - 1), F.lit(0))
+        runs = runs.withColumn(f"{name}_more", F.when(common >= edge_words, common).otherwise(0).cast("int"))
+        runs = runs.drop("_doc", "_place", "_words")
+    grown = runs.select(
+        "doc_id", "n_units", "n_words", "kept", "l_more", "r_more", F.size("l_words").alias("l_size"), F.col("start").alias("was"),
+        F.when(F.col("l_more") > 0, F.element_at("l_reach", F.greatest("l_more", F.lit(1)))).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("r_more") > 0, F.element_at("r_reach", F.greatest("r_more", F.lit(1)))).otherwise(F.col("end")).alias("end"),
+    )
+    in_order = Window.partitionBy("doc_id").orderBy("was")
+    meet = F.coalesce(F.lag("end").over(in_order) > F.col("start"), F.lit(False))
+    placed = grown.withColumns(
+        {"meet": meet, "last_end": F.lag("end").over(in_order), "last_more": F.lag("r_more").over(in_order)}
+    )
+    return _told(
+        placed.withColumns(
+            {
+                "start": F.when(F.col("meet"), F.col("last_end")).otherwise(F.col("start")),
+                "n_words": F.col("n_words") + F.col("r_more")
+                + F.when(F.col("meet"), F.col("l_size") - F.col("last_more")).otherwise(F.col("l_more")),
+            }
         )
     )
 
