@@ -115,3 +115,18 @@ def test_substitutions_anywhere_up_to_a_fifth_are_found():
         over = " ".join(f"sub{i}" if i % 3 == 2 else w for i, w in enumerate(item))
         for text in (clean, over):
             assert not list(decontaminate.overlaps(pa.array([text], pa.large_string()), block))
+
+
+def test_short_items_are_found_whatever_word_differs():
+    """Items of 1 to 12 words: every placement up to a fifth is found, one word more is not."""
+    for count in range(1, 13):
+        item = prose(count, count)
+        block = decontaminate.build_block([0], [" ".join(item)], 13, 0.2)
+        for differ in (count // 5, count // 5 + 1):
+            for at in combinations(range(count), differ):
+                words = [f"sub{i}" if i in at else w for i, w in enumerate(item)]
+                found = list(decontaminate.overlaps(pa.array([" ".join(["x", *words, "y"])], pa.large_string()), block))
+                expected = [(0, 0, 1, 1 + count, count - differ)] if differ == count // 5 else []
+                assert found == expected, (count, at)
+        cut = pa.array([" ".join(item[1:]), " ".join(item[:-1])], pa.large_string())
+        assert not list(decontaminate.overlaps(cut, block))

@@ -6,7 +6,9 @@ window. Masked windows of benchmark items are indexed; every masked window of ev
 is looked up, and at each hit both texts are laid side by side. They leak when any stretch of at
 least ``min_tokens`` words (or the whole item, if shorter) differs in at most a share of
 ``max_substituted``. With the default limits every such stretch of 13 words or more holds a
-window of one of ``MASKS``, so none is missed.
+window of one of ``MASKS``, so none is missed. Items under 13 words have masks of their own length:
+cut into two parts more than words may differ, two parts at least are clean. Items under five
+words must be met word by word.
 
 The items are dealt by hash into blocks of about ``BLOCK_TOKENS`` words. One block at a time
 is sent to the tasks, so what a task holds is bounded however large the benchmarks are; the
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,6 @@ MASKS = (
 )
 MIN_TOKENS = 13
 MAX_SUBSTITUTED = 0.2
-#: Items of fewer words cannot be told from ordinary speech and are not looked for.
-SHORTEST_ITEM = 5
 BLOCK_TOKENS = 1 << 18
 _TABLE_BITS = 22
 _LANES = mix(np.arange(101, 117, dtype=np.uint64)) | np.uint64(1)
@@ -70,20 +71,29 @@ def seed_hashes(tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
+def short_masks(count: int, max_substituted: float) -> list[np.ndarray]:
+    """Places of an item of ``count`` words; one set at least is clean when few enough words differ."""
+    differ = int(max_substituted * count + 1e-9)
+    parts = np.array_split(np.arange(count), differ + 2)
+    chosen = {tuple(np.concatenate(pair).tolist()) for pair in combinations(parts, 2)}
+    return [np.array(places) for places in sorted(chosen) if places]
+
+
 def build_block(items: list, texts: list, min_tokens: int, max_substituted: float) -> Block:
     tokens, starts = word_hashes(normalised(pa.array(texts, pa.large_string())))
     lengths = np.diff(starts)
     masks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in MASKS]
-    span = max(len(m) for m in MASKS[:4])
-    short = sorted({int(n) for n in lengths if SHORTEST_ITEM <= n < span})
     table = np.zeros(1 << _TABLE_BITS, dtype=bool)
     seeds = []
-    for places, chosen in [(m, lengths >= span) for m in masks] + [
-        (np.arange(n), lengths == n) for n in short
-    ]:
+    of_short = [
+        (places, lengths == n, 1)
+        for n in sorted({int(n) for n in lengths if 0 < n < MIN_TOKENS})
+        for places in short_masks(n, max_substituted)
+    ]
+    for places, chosen, windows in [(m, lengths >= min(min_tokens, MIN_TOKENS), None) for m in masks] + of_short:
         hashes, at = [], []
         for item in np.flatnonzero(chosen):
-            found = seed_hashes(tokens[starts[item] : starts[item + 1]], places)
+            found = seed_hashes(tokens[starts[item] : starts[item + 1]], places)[:windows]
             hashes.append(found)
             at.append(starts[item] + np.arange(len(found)))
         if hashes:
@@ -141,8 +151,24 @@ def overlaps(texts: pa.Array, block: Block) -> Iterator[tuple[int, int, int, int
             text, item = text_of[where], np.searchsorted(block.starts, spots, side="right") - 1
             shifts = (where - starts[text]) - (spots - block.starts[item])
             pairs.append(np.unique(np.stack([text, item, shifts]), axis=1))
+        every = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        # items shorter than a stretch must fit whole: all of a length are judged at once
+        lengths = np.diff(block.starts)[every[1]]
+        alone = lengths < block.min_tokens
         best: dict = {}
-        for text, item, shift in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
+        for count in np.unique(lengths[alone]).tolist():
+            text, item, shift = every[:, alone & (lengths == count)]
+            fits = (shift >= 0) & (shift + count <= np.diff(starts)[text])
+            text, item, shift = text[fits], item[fits], shift[fits]
+            matched = np.zeros(len(text), np.int64)
+            for word in range(count):
+                matched += tokens[starts[text] + shift + word] == block.tokens[block.starts[item] + word]
+            good = np.flatnonzero(count - matched <= block.max_substituted * count + 1e-9)
+            good = good[np.lexsort((shift[good], -matched[good], item[good], text[good]))]
+            _, first = np.unique(np.stack([text[good], item[good]]), axis=1, return_index=True)
+            for k in good[first].tolist():
+                best[int(text[k]), int(item[k])] = (-int(matched[k]), int(shift[k]), int(shift[k]) + count)
+        for text, item, shift in every[:, ~alone].T.tolist():
             doc = tokens[starts[text] : starts[text + 1]]
             words = block.tokens[block.starts[item] : block.starts[item + 1]]
             low, high = max(0, -shift), min(len(words), len(doc) - shift)
