@@ -69,3 +69,12 @@ def test_one_kind_of_label_repeats_and_empty(spark):
     assert sorted(tuple(r)[4] for r in url_filter.filter_urls(pages).collect()) == ["block"] * 3
     assert url_filter.filter_urls(pages.where("page_id = 2")).first().verdict == "allow"
     assert url_filter.filter_urls(pages.where("false")).count() == 0
+
+
+def test_every_suffix_has_its_own_statistics(spark):
+    rows = [(f"http://a.site{i:04}.org/", float(i % 2)) for i in range(1200)]
+    host, path = url_filter.split_url(F.col("url"))
+    table = spark.createDataFrame(rows, "url string, label double").withColumns({"host": host, "path": path})
+    model = url_filter.train_url_model(table, trees=1)
+    rates = {r.suffix: r.suffix_rate for r in model.suffixes.collect()}
+    assert rates == {f"site{i:04}.org": (i % 2 + 0.5) / 2 for i in range(1200)}

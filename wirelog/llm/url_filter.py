@@ -15,15 +15,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelog.llm.frames import named
+from wirelog.llm.frames import Scratch, named
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Labelled URLs that train the trees, at most.
 SAMPLE_ROWS = 20_000
 TREES = 12
 DEPTH = 4
-#: Suffixes kept apart in the statistics; the rest share the overall rate.
-SUFFIXES = 1_000
 FEATURES = (
     "url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "letter_entropy",
     "parameters", "hyphens", "suffix_rate", "suffix_count",
@@ -84,7 +82,7 @@ def _lexical(urls: DataFrame) -> DataFrame:
 
 def _with_suffixes(lexical: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
     return (
-        lexical.join(F.broadcast(suffixes), "suffix", "left")  # at most SUFFIXES rows
+        lexical.join(suffixes, "suffix", "left")
         .withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(rate)), "suffix_count": F.coalesce("suffix_count", F.lit(0.0))})
     )
 
@@ -98,15 +96,16 @@ def train_url_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees:
     lexical = _lexical(labelled)
     blocked, total = labelled.agg(F.sum("label"), F.count("label")).first()
     rate = (blocked or 0.0) / total if total else 0.0
-    suffixes = (
+    # Written, so that the join shuffles both sides anew and can split a common suffix.
+    suffixes = Scratch(labelled.sparkSession, "url-filter").store(
         lexical.groupBy("suffix")
         .agg(F.sum("label").alias("b"), F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
         .select(
             "suffix",
             ((F.col("b") + rate) / (F.col("n") + 1)).alias("suffix_rate"),
             F.log2(F.col("n") + F.lit(1.0)).alias("suffix_count"),
-        )
+        ),
+        "suffixes",
     )
     if not blocked or blocked == total:
         return UrlModel(None, suffixes, rate)
