@@ -13,6 +13,7 @@ from wirelog.llm import (
     pii,
     quality,
     secrets,
+    spelling,
     token_counts,
     unit_dedup,
     url_filter,
@@ -75,11 +76,15 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.whole_passages(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), slip=97)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_pii, op3_url_filter, op4_jaccard_join, op5_secrets, op6_token_counts, op7_warc,
-        op8_decontamination, op9_mixing, op10_unit_dedup,
+        op8_decontamination, op9_mixing, op10_unit_dedup, op13_spelling,
     )
 }
 ORACLES = {"op4_jaccard_join": oracles.JACCARD_JOIN, "op7_warc": oracles.WARC}
