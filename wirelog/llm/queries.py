@@ -14,6 +14,7 @@ from wirelog.llm import (
     quality,
     secrets,
     spelling,
+    suffix_tree,
     token_counts,
     unit_dedup,
     url_filter,
@@ -76,6 +77,12 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.whole_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    mark = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    return suffix_tree.score_texts(documents, mark != 2, keep=["doc_id"])
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"), slip=97)
 
@@ -84,7 +91,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_pii, op3_url_filter, op4_jaccard_join, op5_secrets, op6_token_counts, op7_warc,
-        op8_decontamination, op9_mixing, op10_unit_dedup, op13_spelling,
+        op8_decontamination, op9_mixing, op10_unit_dedup, op11_suffix_tree,
+        op13_spelling,
     )
 }
 ORACLES = {"op4_jaccard_join": oracles.JACCARD_JOIN, "op7_warc": oracles.WARC}
