@@ -64,9 +64,10 @@ class Scratch:
         self._count += 1
         return f"{self.folder}/{self._count}-{name}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
+    def store(self, df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+        """``df``, written and read again; few ``rows_per_file`` where a row is megabytes large."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         stored._scratch_path = path
         return stored

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelog.llm import (
+    alignment,
     decontaminate,
     jaccard_join,
     mixing,
@@ -28,10 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER_FILE)
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,11 @@ def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(documents, mark != 2, keep=["doc_id"])
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align_tokens(_table(spark, sf_dir, "documents"), *files, keep=["doc_id"])
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"), slip=97)
 
@@ -92,7 +98,7 @@ QUERIES = {
     for f in (
         op1_quality, op2_pii, op3_url_filter, op4_jaccard_join, op5_secrets, op6_token_counts, op7_warc,
         op8_decontamination, op9_mixing, op10_unit_dedup, op11_suffix_tree,
-        op13_spelling,
+        op12_alignment, op13_spelling,
     )
 }
 ORACLES = {"op4_jaccard_join": oracles.JACCARD_JOIN, "op7_warc": oracles.WARC}

@@ -297,7 +297,7 @@ def score_texts(
     row = F.struct(*[named(c).alias(c) for c in names], (~learnt).alias("_held_out"))
     rows = docs.select(row.alias("_row"), F.coalesce(named(text_column), F.lit("")).alias("text"), learnt.alias("train"))
     held = StructType.fromDDL(CHUNK_SCHEMA).add("rows", ArrayType(rows.schema["_row"].dataType))
-    chunks = scratch.store(rows.mapInArrow(_chunks(chunk_bytes), held), "chunks")
+    chunks = scratch.store(rows.mapInArrow(_chunks(chunk_bytes), held), "chunks", rows_per_file=16)
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, -(-n_words // bucket_words))
     settings = {"depth": depth, "min_count": min_count, "divergence": divergence, "weight": weight}
