@@ -12,7 +12,8 @@ from wirelog.operators.holes import (
     sender_leases,
     top_ids,
 )
-from wirelog.operators.id_futures import Futures, first_jump, grow
+from wirelog.operators import id_scan
+from wirelog.operators.id_futures import Futures, Rules, Stretch, first_jump, grow
 from wirelog.operators.id_scan import scan_ids
 from wirelog.operators.id_state import IdMemory, observe, remaining_holes
 
@@ -84,6 +85,92 @@ def test_futures_equal_direct_steps(seed):
         assert after.same_future(expected) and before.epoch + epochs == expected.epoch
 
 
+def _stretch(arrivals, rules):
+    memory, futures, leases = IdMemory(), Futures(rules.capacity, rules.max_hole, rules.limit), 0
+    for at, (candidate, us) in enumerate(arrivals):
+        if at and us - arrivals[at - 1][1] >= rules.idle_us:
+            memory, futures, leases = IdMemory(), None, leases + 1
+        if futures is None:
+            observe(memory, candidate, rules.capacity, rules.max_hole)
+        else:
+            futures.add(candidate)
+    ends = arrivals[0][1], arrivals[-1][1]
+    return Stretch.of(futures, *ends) if futures else Stretch.constant(*ends, leases, memory)
+
+
+@pytest.mark.parametrize("limit", [2, 3, 100])
+@pytest.mark.parametrize("seed", range(25))
+def test_stretches_compose_in_any_order(seed, limit):
+    """Folded pairwise however it falls, a run of stretches does what its arrivals do one by one."""
+    rnd = random.Random(seed)
+    steps = [1, 1, 2, -1] if seed % 3 else [1, 15, 40, -30, -2, 20, 20]
+    rules = Rules(1000, rnd.choice([1, 3, 10]), 10, limit)
+    at, us, arrivals = 0, 0, []
+    for _ in range(80):
+        at += rnd.choice(steps)
+        us += 1000 if rnd.random() < 0.01 else 1
+        arrivals.append((at if rnd.random() < 0.95 else -(2**31), us))
+    cuts = sorted({0, 80, *(rnd.randrange(1, 79) for _ in range(9))})
+    pieces = [arrivals[a:b] for a, b in zip(cuts, cuts[1:])]
+    stretches = [_stretch(piece, rules) for piece in pieces[1:]]
+    while len(stretches) > 1:
+        k = rnd.randrange(len(stretches) - 1)
+        stretches[k : k + 2] = [stretches[k].followed_by(stretches[k + 1], rules)]
+    whole = Stretch.from_json(stretches[0].to_json())
+    before, expected = IdMemory(), IdMemory()
+    begun = 0
+    for n, (candidate, us) in enumerate(arrivals):
+        if n and us - arrivals[n - 1][1] >= rules.idle_us:
+            expected, begun = IdMemory(), begun + (n >= cuts[1])
+        observe(expected, candidate, rules.capacity, rules.max_hole)
+        if n == cuts[1] - 1:
+            before = expected.copy()
+    broke = whole.breaks(pieces[0][-1][1], rules)
+    found = whole.after(None if broke else before, rules)
+    assert whole.leases + broke == begun
+    if found is None:
+        assert limit < 100
+    else:
+        assert found == expected
+
+
+def test_descriptions_stay_small():
+    """A sender that counts in steps of 20 may jump at every id; its description doesn't grow."""
+    rules = Rules(10**9, 10, 10, id_scan.JUMPS)
+    sizes = []
+    for count in (200, 2000, 20000):
+        whole = _stretch([(20 * n, n) for n in range(10**6, 10**6 + count)], rules)
+        sizes.append(len(whole.to_json()))
+        for part in range(1, 5):
+            begin = 10**6 + part * count
+            whole = whole.followed_by(_stretch([(20 * n, n) for n in range(begin, begin + count)], rules), rules)
+        sizes.append(len(whole.to_json()))
+    assert max(sizes) < 1500 and max(sizes) - min(sizes) < 300
+
+
+def test_scan_folds_and_looks_again(spark, ids_of, monkeypatch):
+    """Partitions folded two at a time; a memory that takes an unlisted jump is looked for again."""
+    monkeypatch.setattr(id_scan, "FOLD", 2)
+    monkeypatch.setattr(id_scan, "JUMPS", 2)
+    ids = [*range(0, 400, 5), 200, *range(150, 900, 20), *range(880, 1000, 3)] * 3
+    rows = [(port, n + port, at * 1000) for at, n in enumerate(ids) for port in (0, 1)]
+    tried = []
+    original = id_scan.describe_partitions
+    monkeypatch.setattr(id_scan, "describe_partitions", lambda *a: tried.append(a[1].limit) or original(*a))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = scan_ids(ids_of(rows).repartition(5), "1 minute", 5, 10).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = [(r.sender_port, r.msg_id, r.kind, r.lease, r.epoch, r.holes) for r in found]
+    expected = _scan_model(sorted(rows, key=lambda r: (r[0], r[2])), 60_000_000, 5, 10)
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert tried == [2] or tried == [2, 4] or tried == [2, 4, 8]
+
+
 def _scan_model(rows, idle, capacity, max_hole):
     found, current = [], None
     for port, msg_id, us in rows:

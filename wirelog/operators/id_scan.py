@@ -1,58 +1,44 @@
 """Arrival-ordered tracking of ids, parallel even within one sender.
 
 The memory of a sender (see ``id_state``) depends on all its earlier arrivals, but what a
-whole partition does to it has a short description (see ``id_futures``). So the rows are
-range-partitioned by (sender, arrival), pinned, and read twice:
+whole partition does to it has a description of constant size, and descriptions compose (see
+``id_futures``). So the rows are range-partitioned by (sender, arrival), pinned, and read twice:
 
-1. every partition describes itself: the memory that its last sender ends with or, if one
-   sender fills the partition, how it maps the memory coming in to the one going out;
-2. the descriptions, at most two rows per partition, are chained per sender;
-3. every partition is read again, its first sender starting with the memory from step 2.
+1. every partition describes what it does to the memory of its first and last sender;
+2. descriptions are folded, ``FOLD`` neighbours at a time, until one group holds a sender's
+   folds; from there the memories that partitions start with are found on the way back down;
+3. every partition is read again behind a row that says what it starts with.
+
+A description lists few jumps. Where the memory that comes in makes one that is not listed,
+its future is not known, and the partitions are described again with more.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelog.operators.id_futures import Futures, first_jump, grow
+from wirelog.operators.id_futures import Futures, Rules, Stretch, packed, unpacked
 from wirelog.operators.id_state import IdMemory, observe, remaining_holes
 from wirelog.operators.ordering import sorted_runs
 from wirelog.schemas import ARRIVAL, SENDER
-from wirelog.session import duration_us
-
-MEMORY = "struct<lo:bigint,hi:bigint,recent:array<bigint>>"
-DESCRIBED = {
-    "listener": "string",
-    "sender_host": "string",
-    "sender_port": "int",
-    "part": "int",
-    "role": "string",
-    "first_us": "bigint",
-    "last_us": "bigint",
-    "lease": "int",
-    "epoch": "int",
-    "memory": MEMORY,
-    "jumps": "array<struct<id:bigint,upwards:boolean,opens:boolean,end:int,epochs:int>>",
-    "ends": f"array<{MEMORY}>",
-}
-CARRIED = {
-    "part": "int",
-    "continues": "boolean",
-    "last_us": "bigint",
-    "lease": "int",
-    "epoch": "int",
-    "memory": MEMORY,
-}
-TRACKED = {
-    "listener": "string",
-    "sender_host": "string",
-    "sender_port": "int",
+from wirelog.session import cut_lineage, duration_us
+
+#: Neighbours folded at a time, and jumps that a description lists at first.
+FOLD = 64
+JUMPS = 8
+
+_SENDER = {"listener": "string", "sender_host": "string", "sender_port": "int"}
+DESCRIBED = _SENDER | {"part": "int", "role": "string", "body": "string"}
+FOLDED = _SENDER | {"place": "bigint", "body": "string"}
+STARTED = _SENDER | {"place": "bigint", "start": "string", "known": "boolean"}
+TRACKED = _SENDER | {
     "msg_id": "bigint",
     "us": "bigint",
     "seq": "bigint",
@@ -71,32 +57,20 @@ def _frame(rows: list, columns: dict[str, str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(columns), dtype=object)
 
 
-def _pack(memory: IdMemory) -> dict:
-    return {"lo": memory.lo, "hi": memory.hi, "recent": memory.recent}
-
-
-def _unpack(packed, epoch: int = 0) -> IdMemory:
-    number = lambda value: None if value is None or pd.isna(value) else int(value)
-    recent = [int(value) for value in packed["recent"]]
-    return IdMemory(number(packed["lo"]), number(packed["hi"]), recent, int(epoch))
-
-
-def _rows(batch: pd.DataFrame):
+def _rows(batch: pd.DataFrame, names: tuple):
     senders = zip(batch["listener"], batch["sender_host"], batch["sender_port"].tolist())
-    numbers = (batch[name].tolist() for name in ("part", "msg_id", "us", "seq"))
-    return zip(senders, *numbers)
+    return zip(senders, *(batch[name].tolist() for name in names))
 
 
-def describe(idle_us: int, capacity: int, max_hole: int):
-    """Step 1. Roles: ``head`` and ``tail`` of a partition with several senders; ``whole``
-    for one sender; ``reset`` for one sender whose lease ends inside the partition."""
+def describe(rules: Rules):
+    """Step 1. Roles: ``head`` and ``tail`` of a partition with several senders; ``whole`` for one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = current = None
-        memory, futures = IdMemory(), Futures(capacity, max_hole)
+        memory, futures = IdMemory(), Futures(rules.capacity, rules.max_hole, rules.limit)
         part = first_us = last_us = lease = 0
         for batch in batches:
-            rows = list(_rows(batch))
+            rows = list(_rows(batch, ("part", "msg_id", "us", "seq")))
             turns = [at for at, row in enumerate(rows) if row[0] != (rows[at - 1][0] if at else current)]
             if turns and current is None:
                 first, part, first_us = rows[0][0], rows[0][1], rows[0][3]
@@ -107,118 +81,148 @@ def describe(idle_us: int, capacity: int, max_hole: int):
                 rows = rows[turns[-1] :]
                 last_us = rows[0][3]
             for _, _, msg_id, us, _ in rows:
-                if us - last_us >= idle_us:
+                if us - last_us >= rules.idle_us:
                     memory, lease, futures = IdMemory(), lease + 1, None
                 if futures is None:
-                    observe(memory, msg_id, capacity, max_hole)
+                    observe(memory, msg_id, rules.capacity, rules.max_hole)
                 else:
                     futures.add(msg_id)
                 last_us = us
         if current is None:
             return
         if futures is not None:
-            described = [
-                (jump.candidate, jump.upwards, jump.opens, *futures.outcome(jump.group))
-                for jump in futures.jumps
-            ]
-            names = ("id", "upwards", "opens", "end", "epochs")
-            jumps = [dict(zip(names, values)) for values in described]
-            end, epochs = futures.outcome(0)
-            jumps.append(dict(zip(names, (None, None, None, end, epochs))))
-            ends = [_pack(futures.members[group]) for group in futures.live]
-            grown = _pack(futures.grown)
-            row = [*current, part, "whole", first_us, last_us, 0, 0, grown, jumps, ends]
-            yield _frame([row], DESCRIBED)
-            return
-        closing = [last_us, lease, memory.epoch, _pack(memory), None, None]
+            stretch = Stretch.of(futures, first_us, last_us)
+        else:
+            stretch = Stretch.constant(first_us, last_us, lease, memory)
         if current == first:
-            yield _frame([[*current, part, "reset", first_us, *closing]], DESCRIBED)
+            yield _frame([[*current, part, "whole", stretch.to_json()]], DESCRIBED)
             return
-        head = [*first, part, "head", first_us, None, None, None, None, None, None]
-        yield _frame([head, [*current, part, "tail", None, *closing]], DESCRIBED)
+        head = [*first, part, "head", None]
+        yield _frame([head, [*current, part, "tail", stretch.to_json()]], DESCRIBED)
 
     return run
 
 
-def chain(idle_us: int, capacity: int, max_hole: int):
-    """Step 2: what the first sender of every partition starts with, and which partitions
-    end with a sender that goes on. One sender's descriptions, a row per partition."""
-
-    def run(described: pd.DataFrame) -> pd.DataFrame:
-        memory, lease, last_us = None, 0, 0
-        carried = []
-        rows = list(described.sort_values("part").itertuples(index=False))
-        for position, row in enumerate(rows):
-            continues = row.role != "head" and position + 1 < len(rows)
-            start = None if memory is None else _pack(memory)
-            epoch = 0 if memory is None else memory.epoch
-            carried.append([row.part, continues, last_us, lease, epoch, start])
-            if row.role == "head":
-                break
-            ended = memory is not None and row.first_us - last_us >= idle_us
-            before = lease + 1 if ended else lease
-            if row.role != "whole":
-                memory, lease = _unpack(row.memory, row.epoch), before + int(row.lease)
-            else:
-                *jumps, fresh = row.jumps
-                if memory is None or ended:
-                    memory, taken = IdMemory(), fresh
-                else:
-                    outlines = [(j["id"], j["upwards"], j["opens"]) for j in jumps]
-                    position = first_jump(memory, outlines, max_hole)
-                    taken = None if position is None else jumps[position]
-                if taken is None:
-                    memory = grow(memory, _unpack(row.memory), capacity)
-                else:
-                    memory = _unpack(row.ends[taken["end"]], memory.epoch + taken["epochs"])
-                lease = before
-            last_us = int(row.last_us)
-        return _frame(carried, CARRIED)
+def _fold(rules: Rules):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        whole = None
+        for body in rows["body"]:
+            if body is None:
+                continue  # a head is a sender's last row
+            stretch = Stretch.from_json(body)
+            whole = stretch if whole is None else whole.followed_by(stretch, rules)
+        sender = rows[list(_SENDER)].iloc[0].tolist()
+        block = int(rows["place"].iloc[0]) // FOLD
+        return _frame([[*sender, block, whole and whole.to_json()]], FOLDED)
 
     return run
 
 
-def track(
-    idle_us: int,
-    capacity: int,
-    max_hole: int,
-    every: bool,
-    starts: dict,
-    continuing: frozenset,
-):
-    """Step 3: one row per arrival and one where a lease ends, or those with holes only."""
+def _starts(rows: pd.DataFrame, start: str | None, known: bool, rules: Rules) -> pd.DataFrame:
+    """What each of up to ``FOLD`` neighbours starts with, the first with ``start``."""
+    found = []
+    for *sender, place, body in rows.sort_values("place")[list(FOLDED)].itertuples(index=False):
+        found.append([*sender, place, start, known])
+        if body is None or not known:
+            continue
+        stretch = Stretch.from_json(body)
+        memory, lease = None, 0
+        if start is not None:
+            memory, lease, last_us = json.loads(start)
+            memory, broke = unpacked(memory), stretch.breaks(last_us, rules)
+            memory, lease = None if broke else memory, lease + broke
+        memory = stretch.after(memory, rules)
+        known = memory is not None
+        start = json.dumps([packed(memory), lease + stretch.leases, stretch.last_us]) if known else None
+    return _frame(found, STARTED)
+
+
+def _first_starts(rules: Rules):
+    return lambda rows: _starts(rows, None, True, rules)
+
+
+def _later_starts(rules: Rules):
+    def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        return _starts(rows, block["start"].iloc[0], bool(block["known"].iloc[0]), rules)
+
+    return run
+
+
+def starting_memories(described: DataFrame, rows_of_one: int, rules: Rules) -> DataFrame:
+    """Step 2: ``start`` of every row of ``described`` (sender, ``place``, ``body``), by place.
+
+    ``rows_of_one`` bounds the rows of one sender. Null bodies are last rows, which lead nowhere.
+    """
+    if rows_of_one <= FOLD:
+        return described.groupBy(*SENDER).applyInPandas(_first_starts(rules), _ddl(STARTED))
+    block = F.floor(F.col("place") / FOLD)
+    blocks = described.select(*FOLDED, block.alias("block"))
+    folded = blocks.groupBy(*SENDER, "block").applyInPandas(_fold(rules), _ddl(FOLDED))
+    outer = starting_memories(folded, -(-rows_of_one // FOLD), rules)
+    named = outer.select(*[F.col(c).alias(f"of_{c}") for c in (*SENDER, "place")], "start", "known")
+    within = blocks.groupBy(*SENDER, "block").cogroup(named.groupBy(*[f"of_{c}" for c in (*SENDER, "place")]))
+    return within.applyInPandas(_later_starts(rules), _ddl(STARTED))
+
+
+def track(rules: Rules, every: bool):
+    """Step 3: one row per arrival and one where a lease ends, or those with holes only.
+
+    Rows with order 0 come first in their partition: what its first sender starts with, and
+    whether its last sender goes on elsewhere.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, memory, lease, last_us, part = None, IdMemory(), 0, 0, None
+        part = current = start = None
+        memory, lease, last_us, continues = IdMemory(), 0, 0, False
 
         def lease_end() -> list:
-            holes = remaining_holes(memory, max_hole)
+            holes = remaining_holes(memory, rules.max_hole)
             return [*current, None, last_us, None, "lease_end", lease, memory.epoch, holes]
 
+        names = ("part", "order", "msg_id", "us", "seq", "start", "continues")
         for batch in batches:
             found = []
-            for sender, part, msg_id, us, seq in _rows(batch):
-                if current is None and part in starts:
-                    memory, lease, last_us = starts[part]
-                    memory, current = memory.copy(), sender
+            for sender, in_part, order, msg_id, us, seq, given, goes_on in _rows(batch, names):
+                if in_part != part:
+                    if current is not None and not continues:
+                        found.append(lease_end())
+                    part, current, start, continues = in_part, None, None, False
+                if order == 0:
+                    start, continues = given or start, continues or goes_on
+                    continue
+                if current is None:
+                    memory, lease = IdMemory(), 0
+                    if start is not None:
+                        memory, lease, last_us = json.loads(start)
+                        memory, current = unpacked(memory), sender
                 if current is not None and sender != current:
                     found.append(lease_end())
                     memory, lease = IdMemory(), 0
-                elif current is not None and us - last_us >= idle_us:
+                elif current is not None and us - last_us >= rules.idle_us:
                     found.append(lease_end())
                     memory, lease = IdMemory(), lease + 1
-                holes = observe(memory, msg_id, capacity, max_hole)
+                holes = observe(memory, msg_id, rules.capacity, rules.max_hole)
                 current, last_us = sender, us
                 if every or holes:
                     row = [*sender, msg_id, us, seq, "arrival", lease, memory.epoch, holes]
                     found.append(row)
             yield _frame(found, TRACKED)
-        if current is not None and part not in continuing:
+        if current is not None and not continues:
             yield _frame([lease_end()], TRACKED)
 
     return run
 
 
+def describe_partitions(pinned: DataFrame, rules: Rules) -> DataFrame:
+    """One or two rows per partition of the pinned layout, numbered by ``place`` within a sender."""
+    described = pinned.mapInPandas(describe(rules), _ddl(DESCRIBED))
+    in_order = Window.partitionBy(*SENDER).orderBy("part")
+    goes_on = (F.col("role") != "head") & F.lead("part").over(in_order).isNotNull()
+    place = (F.row_number().over(in_order) - 1).cast("bigint")
+    return cut_lineage(described.select("*", place.alias("place"), goes_on.alias("continues")))
+
+
 def scan_ids(
     ids: DataFrame, idle: str, capacity: int, max_hole: int, every_arrival: bool = True
 ) -> DataFrame:
@@ -226,22 +230,27 @@ def scan_ids(
     ``arrival``), and every end of a lease with the holes left then (``lease_end``).
     Without ``every_arrival`` only the arrivals that pushed out a hole."""
     if capacity < 1:
-        raise ValueError(f"insufficient capacity {capacity}")
-    settings = (duration_us(idle), capacity, max_hole)
+        raise ValueError(f"a memory holds at least one id, not {capacity}")
+    rules = Rules(duration_us(idle), capacity, max_hole, JUMPS)
     narrow = ids.select(*SENDER, "msg_id", *ARRIVAL)
     pinned = sorted_runs(narrow, SENDER, ARRIVAL).withColumn("us", F.unix_micros("ts")).drop("ts")
-    described = pinned.mapInPandas(describe(*settings), _ddl(DESCRIBED))
-    carried = described.groupBy(*SENDER).applyInPandas(chain(*settings), _ddl(CARRIED))
-    # At most two rows per partition of the pinned layout, whatever the data.
-    starts, continuing = {}, set()
-    for row in carried.collect():
-        if row.continues:
-            continuing.add(row.part)
-        if row.memory is not None:
-            starts[row.part] = (_unpack(row.memory.asDict(), row.epoch), row.lease, row.last_us)
-    tracked = pinned.mapInPandas(
-        track(*settings, every_arrival, starts, frozenset(continuing)), _ddl(TRACKED)
+    while True:
+        described = describe_partitions(pinned, rules)
+        parts, most = described.agg(F.max("part") + 1, F.max("place") + 1).first()
+        starts = cut_lineage(starting_memories(described.select(*FOLDED), most or 0, rules))
+        if starts.where("not known").isEmpty():
+            break
+        rules.limit *= FOLD
+    same = F.col("d.place") == F.col("s.place")
+    for name in SENDER:
+        same = same & F.col(f"d.{name}").eqNullSafe(F.col(f"s.{name}"))
+    opening = described.alias("d").join(starts.alias("s"), same).select(
+        *[f"d.{name}" for name in SENDER], "d.part", *[F.lit(0).alias(c) for c in ("order", "msg_id", "us", "seq")],
+        "s.start", "d.continues",
     )
+    rows = pinned.withColumn("order", F.lit(1)).unionByName(opening, allowMissingColumns=True)
+    placed = rows.repartitionById(parts or 1, F.col("part")).sortWithinPartitions("part", "order", *SENDER, "us", "seq")
+    tracked = placed.mapInPandas(track(rules, every_arrival), _ddl(TRACKED))
     return tracked.withColumn("ts", F.timestamp_micros("us")).select(
         *SENDER, "msg_id", *ARRIVAL, "kind", "lease", "epoch", "holes"
     )
