@@ -21,7 +21,8 @@ from wirelog.operators.holes import (
 )
 from wirelog.plans.decode_capture import decode_capture
 
-FOREVER = "36500 days"
+#: A sender that is silent for so long starts anew; the events of a user come hours apart.
+IDLE = "12 hours"
 
 GAPS_SQL = """, steps AS (
   SELECT sender_port, msg_id AS after_id,
@@ -47,16 +48,23 @@ def bucketed(spark, sf_dir):
     return _gaps(gaps_exact(X.event_ids(spark, sf_dir, resets=True), bucket=8))
 
 
-# The tracker, one arrival of every sender per step: bounds of the epoch and the largest
-# ids. A jump forgets; after a jump down the id counts as the maximum.
-TRACK_SQL = """, queue AS (
-  SELECT sender_port, msg_id, row_number() OVER (PARTITION BY sender_port ORDER BY ts, event_id) AS pos
-  FROM jumping
+# The tracker, one arrival of every lease of every sender per step: bounds of the epoch and the
+# largest ids. A jump forgets; after a jump down the id counts as the maximum.
+TRACK_SQL = """, marked AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOURS THEN 1 ELSE 0 END AS starts
+  FROM jumping WINDOW w AS (PARTITION BY sender_port ORDER BY ts, event_id)
+), leased AS (
+  SELECT *, CAST(sum(starts) OVER (PARTITION BY sender_port ORDER BY ts, event_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS lease FROM marked
+), queue AS (
+  SELECT sender_port, lease, msg_id,
+         row_number() OVER (PARTITION BY sender_port, lease ORDER BY ts, event_id) AS pos
+  FROM leased
 ), track AS (
-  SELECT sender_port, pos, msg_id, msg_id AS lo, msg_id AS hi, [msg_id] AS recent,
+  SELECT sender_port, lease, pos, msg_id, msg_id AS lo, msg_id AS hi, [msg_id] AS recent,
          0 AS epoch, CAST(0 AS BIGINT) AS hole FROM queue WHERE pos = 1
   UNION ALL
-  SELECT q.sender_port, q.pos, q.msg_id,
+  SELECT q.sender_port, q.lease, q.pos, q.msg_id,
     CASE WHEN s.down OR s.up THEN NULL ELSE least(coalesce(s.lo, q.msg_id), q.msg_id) END,
     CASE WHEN s.up THEN NULL WHEN s.down THEN q.msg_id
          ELSE greatest(coalesce(s.hi, q.msg_id), q.msg_id) END,
@@ -73,28 +81,29 @@ TRACK_SQL = """, queue AS (
   FROM (SELECT t.*, n.msg_id AS next_id,
                coalesce(t.lo - n.msg_id > 10, false) AS down,
                coalesce(n.msg_id - t.hi > 10, false) AS up
-        FROM track t JOIN queue n ON n.sender_port = t.sender_port AND n.pos = t.pos + 1) s
-  JOIN queue q ON q.sender_port = s.sender_port AND q.pos = s.pos + 1
+        FROM track t JOIN queue n
+        ON n.sender_port = t.sender_port AND n.lease = t.lease AND n.pos = t.pos + 1) s
+  JOIN queue q ON q.sender_port = s.sender_port AND q.lease = s.lease AND q.pos = s.pos + 1
 )
 """
 
 
-@query("id_epochs", IDS + TRACK_SQL.format(1) + "SELECT sender_port, msg_id, epoch FROM track")
+@query("id_epochs", IDS + TRACK_SQL.format(1) + "SELECT sender_port, msg_id, lease, epoch FROM track")
 def epochs(spark, sf_dir):
-    found = id_epochs(X.event_ids(spark, sf_dir, resets=True), idle=FOREVER)
-    return found.select("sender_port", "msg_id", "epoch")
+    found = id_epochs(X.event_ids(spark, sf_dir, resets=True), idle=IDLE)
+    return found.select("sender_port", "msg_id", "lease", "epoch")
 
 
 @query(
     "gaps_online",
     IDS
     + TRACK_SQL.format(5)
-    + "SELECT sender_port, msg_id, epoch, hole AS holes FROM track WHERE hole > 0",
+    + "SELECT sender_port, msg_id, lease, epoch, hole AS holes FROM track WHERE hole > 0",
 )
 def online(spark, sf_dir):
     ids = X.event_ids(spark, sf_dir, resets=True)
-    found = gaps_online(ids, idle=FOREVER, ids_per_port=5)
-    return found.select("sender_port", "msg_id", "epoch", F.col("holes").cast("bigint").alias("holes"))
+    found = gaps_online(ids, idle=IDLE, ids_per_port=5)
+    return found.select("sender_port", "msg_id", "lease", "epoch", F.col("holes").cast("bigint").alias("holes"))
 
 
 @query(
@@ -102,16 +111,16 @@ def online(spark, sf_dir):
     IDS
     + TRACK_SQL.format(5)
     + """, ends AS (
-  SELECT sender_port, list_transform(range(1, len(recent)), lambda p: recent[p + 1] - recent[p] - 1)
-         AS sizes FROM track QUALIFY pos = max(pos) OVER (PARTITION BY sender_port)
+  SELECT sender_port, lease, list_transform(range(1, len(recent)), lambda p: recent[p + 1] - recent[p] - 1)
+         AS sizes FROM track QUALIFY pos = max(pos) OVER (PARTITION BY sender_port, lease)
 )
-SELECT sender_port, CAST(list_sum(list_filter(sizes, lambda s: s BETWEEN 1 AND 10)) AS BIGINT) AS holes
+SELECT sender_port, lease, CAST(list_sum(list_filter(sizes, lambda s: s BETWEEN 1 AND 10)) AS BIGINT) AS holes
 FROM ends WHERE list_sum(list_filter(sizes, lambda s: s BETWEEN 1 AND 10)) > 0""",
 )
 def at_expiry(spark, sf_dir):
     ids = X.event_ids(spark, sf_dir, resets=True)
-    found = gaps_at_expiry(ids, idle=FOREVER, ids_per_port=5)
-    return found.select("sender_port", F.col("holes").cast("bigint").alias("holes"))
+    found = gaps_at_expiry(ids, idle=IDLE, ids_per_port=5)
+    return found.select("sender_port", "lease", F.col("holes").cast("bigint").alias("holes"))
 
 
 @query(
@@ -120,7 +129,7 @@ def at_expiry(spark, sf_dir):
     + TRACK_SQL.format(5)
     + """, ends AS (
   SELECT list_transform(range(1, len(recent)), lambda p: recent[p + 1] - recent[p] - 1) AS sizes
-  FROM track QUALIFY pos = max(pos) OVER (PARTITION BY sender_port)
+  FROM track QUALIFY pos = max(pos) OVER (PARTITION BY sender_port, lease)
 )
 SELECT 'udp' AS listener, CAST((SELECT sum(hole) FROM track) AS BIGINT) AS holes_from_new_message,
  CAST((SELECT sum(list_sum(list_filter(sizes, lambda s: s BETWEEN 1 AND 10))) FROM ends) AS BIGINT)
@@ -132,7 +141,7 @@ def holes_of_a_capture(spark, sf_dir):
     payload = F.encode(F.concat(F.lit("m"), F.col("msg_id").cast("string")), "UTF-8")
     messages = X.event_ids(spark, sf_dir, resets=True).withColumn("payload", payload)
     packets = packetize(messages, X.FRAGMENT)
-    rows = decode_capture(packets, idle=FOREVER, ids_per_port=5).statistics
+    rows = decode_capture(packets, idle=IDLE, ids_per_port=5).statistics
     return rows.select(
         "listener",
         "holes_from_new_message",
