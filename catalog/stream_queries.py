@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import fixtures as X
-from catalog.hole_queries import TRACK_SQL
+from catalog.hole_queries import IDLE, TRACK_SQL
 from catalog.message_queries import ROUTED_SQL, _routable_events
 from catalog.registry import DOCS, IDS, query
 from catalog.stats_queries import COUNTERS_SQL
@@ -17,6 +17,7 @@ from wirelog.sources.readers import read_packets
 from wirelog.streaming.decode import decode_stream
 from wirelog.streaming.defrag import defragment_session, defragment_stream
 from wirelog.streaming.holes import holes_stream
+from wirelog.streaming.ordered import defragment_in_order, holes_in_order, state_store
 from wirelog.streaming.run import run_available
 from wirelog.streaming.stats import rate, stats_stream
 
@@ -108,29 +109,78 @@ def late(spark, sf_dir):
     )
 
 
+def out_of_order(spark, rows, name, span_us):
+    """Stored rows as micro-batches, read one after another: a row is in the batch of its time or the next one."""
+    path, first = scratch_path(spark, name), rows.agg(F.min(F.unix_micros("ts"))).first()[0]
+    turn = F.floor((F.unix_micros("ts") - F.lit(first)) / span_us) + F.pmod(F.hash("seq"), F.lit(2))
+    placed = rows.withColumn("_batch", turn.cast("int"))
+    for number in range(placed.agg(F.max("_batch")).first()[0] + 1):
+        placed.where(F.col("_batch") == number).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
 @query(
-    "holes_stream",
+    "stream_disorder",
+    DOCS
+    + """SELECT doc_id, 'message' AS kind, CAST(NULL AS INTEGER) AS fragment_index,
+ CASE WHEN doc_id % 29 <> 0 THEN md5(text) END AS digest FROM c WHERE n > 1
+ UNION ALL SELECT doc_id, 'late_duplicate', 0, NULL FROM c WHERE n > 1 AND doc_id % 31 = 0""",
+)
+def disorder(spark, sf_dir):
+    """Fragments of one message come in two micro-batches, some repeats before the message is whole."""
+    state_store(spark)
+    packets = with_closing_row(X.repeated(X.document_packets(spark, sf_dir)).select(*PACKET_COLUMNS, "doc_id"))
+    last = packets.where("listener <> 'closing'").agg(F.max("doc_id")).first()[0]
+    span = (last // 5 + 1) * 1000000
+    closing = F.col("listener") == "closing"
+    end = F.lit(X.BASE_US + 9 * span)
+    packets = packets.drop("doc_id").withColumn("ts", F.when(closing, F.timestamp_micros(end)).otherwise(F.col("ts")))
+    stream = out_of_order(spark, packets, "disorder", span)
+    found = run_available(defragment_in_order(valid_fragments(stream), "10 seconds", f"{2 * span} microseconds"), "ordered")
+    whole = F.when(X.doc_id() % 29 != 0, F.md5("payload"))
+    return found.where("listener <> 'closing'").select(
+        X.doc_id().alias("doc_id"), "kind", "fragment_index", whole.alias("digest")
+    )
+
+
+HOLES_SQL = (
     IDS
     + TRACK_SQL.format(5)
     + """, ends AS (
   SELECT sender_port, list_transform(range(1, len(recent)), lambda p: recent[p + 1] - recent[p] - 1)
-         AS sizes FROM track QUALIFY pos = max(pos) OVER (PARTITION BY sender_port)
+         AS sizes FROM track QUALIFY pos = max(pos) OVER (PARTITION BY sender_port, lease)
 ), left_over AS (
   SELECT sender_port, list_sum(list_filter(sizes, lambda s: s BETWEEN 1 AND 10)) AS holes FROM ends
 )
 SELECT sender_port, msg_id, 'arrival' AS kind, hole AS holes FROM track WHERE hole > 0
 UNION ALL
-SELECT sender_port, NULL, 'lease_end', CAST(holes AS BIGINT) FROM left_over WHERE holes > 0""",
+SELECT sender_port, NULL, 'lease_end', CAST(holes AS BIGINT) FROM left_over WHERE holes > 0"""
 )
+
+
+def _found_holes(found):
+    return found.where("listener <> 'closing'").select(
+        "sender_port", F.col("msg_id").cast("bigint").alias("msg_id"), "kind", F.col("holes").cast("bigint").alias("holes")
+    )
+
+
+@query("holes_stream", HOLES_SQL)
 def holes(spark, sf_dir):
     ids = X.event_ids(spark, sf_dir, resets=True)
-    span = 86400000000 * 400
-    path = stored(with_closing_row(ids, day=span), "ids")
+    path = stored(with_closing_row(ids, day=86400000000 * 2), "ids")
     stream = spark.readStream.schema(ids.schema).parquet(path)
-    found = run_available(holes_stream(stream, idle="365 days", ids_per_port=5), "holes")
-    return found.where("listener <> 'closing'").select(
-        "sender_port", "msg_id", "kind", F.col("holes").cast("bigint").alias("holes")
-    )
+    return _found_holes(run_available(holes_stream(stream, idle=IDLE, ids_per_port=5), "holes"))
+
+
+@query("holes_stream_disorder", HOLES_SQL)
+def holes_of_disorder(spark, sf_dir):
+    """Arrivals of ten days in one micro-batch or the next: their order is that of the events."""
+    state_store(spark)
+    span = 86400000000 * 10
+    ids = with_closing_row(X.event_ids(spark, sf_dir, resets=True), day=span * 3)
+    stream = out_of_order(spark, ids, "mixed-ids", span)
+    found = holes_in_order(stream, IDLE, ids_per_port=5, watermark_delay="20 days")
+    return _found_holes(run_available(found, "holes"))
 
 
 @query(
