@@ -5,10 +5,16 @@ where they have the same tokens at the same places on both sides of a white-spac
 no token covers: the tokenizer never merges across white space, so the left chunk is right up
 to there and the right chunk from there on. Where an overlap offers no such place it is
 widened, in the end to the whole rest.
+
+Other texts are counted word by word where the tokenizer drops white space before it merges (which
+its file says): the count of a text is then the sum over its words, and a word that a task has
+met is looked up.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +29,10 @@ OVERLAP = 1 << 9
 #: Tokens that must agree on each side of a splice.
 AGREE = 4
 _BATCH_CHARACTERS = 1 << 20
+#: Characters that part words here; all of them are white space to every tokenizer.
+_WORD = re.compile(r"[^ \t\n\r]+")
+#: What a task remembers: so many words of so many characters at most, some 50 MB.
+_KNOWN_WORDS, _KNOWN_LENGTH = 1 << 18, 48
 
 
 def tokenizer(path: str):
@@ -82,12 +92,58 @@ def count_long(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     return total + len(left) - skip
 
 
+def drops_space(path: str) -> bool:
+    """Whether the file's rules split at white space and forget it, special strings included."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    normalizer, splitter = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    harmless = all(
+        step["type"] in ("NFC", "Lowercase")
+        or (step["type"] == "Replace" and step["pattern"] == {"Regex": r"\s+"} and step["content"] == " ")
+        for step in steps
+    )
+    first, *others = splitter.get("pretokenizers", [splitter])
+    pattern = first.get("pattern", {}).get("Regex", " ")
+    matches_space = re.search(r"\\[sSWDPX]|[ .]", pattern.replace(r"[^\s", "["))
+    parted = first.get("behavior") == "Removed" and first.get("invert") and not matches_space
+    plain = all(step.get("type") == "ByteLevel" and not step.get("add_prefix_space") for step in others)
+    added = all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and _WORD.fullmatch(t["content"])
+        for t in rules.get("added_tokens", [])
+    )
+    return bool(harmless and parted and plain and added and not rules.get("post_processor"))
+
+
+class _Words:
+    """Token counts of words, remembered up to a bound."""
+
+    def __init__(self, loaded):
+        self.loaded, self.known = loaded, {}
+
+    def count(self, texts: list[str]) -> list[int]:
+        words = [_WORD.findall(text) for text in texts]
+        new = list(set().union(*words).difference(self.known))
+        self.known.update(zip(new, map(len, self.loaded.encode_batch_fast(new, add_special_tokens=False))))
+        totals = [sum(map(self.known.__getitem__, some)) for some in words]
+        if len(self.known) > _KNOWN_WORDS:
+            self.known = {}
+        for word in new:
+            if len(word) > _KNOWN_LENGTH:
+                self.known.pop(word, None)
+        return totals
+
+
 def _counter(path: str, longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         loaded = tokenizer(path)
+        if drops_space(path):
+            counted = _Words(loaded).count
+        else:
+            counted = lambda some: list(map(len, loaded.encode_batch_fast(some, add_special_tokens=False)))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = [0] * len(texts)
@@ -99,9 +155,8 @@ def _counter(path: str, longest: int):
                     held.append(i)
                     size += len(text)
                 if size > _BATCH_CHARACTERS or (i + 1 == len(texts) and held):
-                    coded = loaded.encode_batch_fast([texts[h] for h in held], add_special_tokens=False)
-                    for h, c in zip(held, coded):
-                        counts[h] = len(c)
+                    for h, c in zip(held, counted([texts[h] for h in held])):
+                        counts[h] = c
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), batch.column("n_bytes"), pa.array(counts, pa.int64())],
@@ -117,7 +172,8 @@ def count_tokens(
 ) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, or all) with ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
-    Null texts count as empty: no bytes, no tokens. Repeated rows are counted each. Columns
+    Null texts count as empty: no bytes, no tokens. Repeated rows are counted each; an empty table
+    gives an empty result; texts over ``longest`` characters are encoded in chunks. Columns
     named like a result are replaced. ``tokenizer_path`` names a file every executor has.
     """
     names = keep or docs.columns
