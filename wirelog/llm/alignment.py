@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from wirelog.llm.compact import by_frequency, squeeze, unsqueeze
 from wirelog.llm.frames import Scratch, named, unpacked
 from wirelog.llm.hashing import pieces
 
@@ -234,17 +235,6 @@ def _sides(a_path: str, b_path: str) -> tuple[_Side, _Side]:
     return _Side(ByteLevel(a_path)), _Side(Pieces(b_path))
 
 
-def _squeezed(numbers: np.ndarray) -> bytes:
-    """Small numbers first: the bytes of equal weight side by side, compressed."""
-    planes = numbers.astype("<u4").view("u1").reshape(-1, 4).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unsqueezed(data: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * count, codec="zstd", asbytes=True), "u1").reshape(4, count)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
-
-
 CHUNKED = (
     "chunk bigint, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
     "groups array<string>, pairs array<struct<a:int,b:int,n:bigint>>, links binary"
@@ -264,9 +254,7 @@ def _chunk(number: int, rows: list, texts: list, sides) -> pa.RecordBatch:
     pairs, links, counts = np.unique(
         np.concatenate([*keys, np.empty(0, np.int64)]), return_inverse=True, return_counts=True
     )
-    frequent = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(pairs), np.int64)
-    rank[frequent] = np.arange(len(pairs))
+    links, frequent = by_frequency(links, len(pairs))
     pairs, counts = pairs[frequent], counts[frequent]
     n_links = np.diff(np.concatenate([[0], np.cumsum(per_row)])[laid.ends_a])
     digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in laid.written_groups()]
@@ -281,7 +269,7 @@ def _chunk(number: int, rows: list, texts: list, sides) -> pa.RecordBatch:
             *[_one_row(pa.array(numbers, pa.int64())) for numbers in lists],
             _one_row(pa.array(digests, pa.string())),
             _one_row(counted),
-            pa.array([_squeezed(rank[links])], pa.binary()),
+            pa.array([squeeze(links)], pa.binary()),
             _one_row(pa.concat_arrays(rows)),
         ],
         names=["chunk", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "links", "rows"],
@@ -317,7 +305,7 @@ def _finish(chunk: pa.Table, counted: pa.Table) -> pa.Table:
     """The texts of one chunk with sums over their links."""
     lists = {name: chunk.column(name)[0].values for name in ("rows", "n_a", "n_b", "n_groups", "n_links", "groups")}
     n_links = lists["n_links"].to_numpy(zero_copy_only=False)
-    links = _unsqueezed(chunk.column("links")[0].as_py(), int(n_links.sum()))
+    links = unsqueeze(chunk.column("links")[0].as_py())
     count, best = np.zeros(counted.num_rows, np.int64), np.zeros(counted.num_rows, np.int64)
     places = counted.column("place").to_numpy()
     count[places], best[places] = counted.column("count").to_numpy(), counted.column("best").to_numpy()

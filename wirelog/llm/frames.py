@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,3 +78,13 @@ class Scratch:
         """Delete a table that nothing will read again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(stored._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def tidy(self) -> None:
+        """Let Spark see which shuffles are over, so that it deletes their files now and not at the end.
+
+        The first collection frees what Python let go, the second what only that held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from wirelog.llm.compact import by_frequency, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from wirelog.llm.frames import Scratch, named, unpacked
 from wirelog.llm.hashing import mix, pieces, word_hashes
 
@@ -36,16 +37,19 @@ MIN_COUNT = 16
 DIVERGENCE = 0.05
 WEIGHT = 8.0
 #: Bytes of text in a chunk, and words of all texts per bucket: what one task holds at a time.
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 22
 BUCKET_WORDS = 1 << 20
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 _END = np.uint64(0x9E3779B97F4A7C15)
 _LANES = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 #: Log ratios are added up as whole numbers of this fraction of a nat, so their order can't matter.
 _FINE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
-CHUNK_SCHEMA = "chunk bigint, n_words bigint, words binary, tokens binary, bounds binary, train binary"
+#: Of a chunk: its words in order of hash, their order by frequency, its tokens by that order, where
+#: texts begin, and which of them to learn from.
+_PARTS = ("words", "order", "tokens", "bounds", "train")
+CHUNK_SCHEMA = "chunk bigint, n_words bigint, words binary, `order` binary, tokens binary, bounds binary, train binary"
 ASKED = "chunk bigint, kind int, bucket int, keys binary, counts binary"
 ANSWERED = "chunk bigint, kind int, bucket int, totals binary, total bigint, distinct_keys bigint"
 
@@ -88,18 +92,17 @@ def _chunk(rows: list, texts: list, train: list, number: int) -> pa.RecordBatch:
     ends[bounds[1:] - 1] = True
     every[ends], every[~ends] = _END, hashed
     words, tokens = np.unique(every, return_inverse=True)
+    tokens, order = by_frequency(tokens, len(words))
     held = pa.concat_arrays(rows)
+    packed = [squeeze_sorted(words), squeeze(order), squeeze(tokens), squeeze(bounds), squeeze(np.concatenate(train))]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([number], pa.int64()),
             pa.array([len(tokens)], pa.int64()),
-            *[
-                pa.array([x.tobytes()], pa.binary())
-                for x in (words, tokens.astype("<i4"), bounds.astype("<i8"), np.concatenate(train).astype("u1"))
-            ],
+            *[pa.array([x], pa.binary()) for x in packed],
             pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
         ],
-        names=["chunk", "n_words", "words", "tokens", "bounds", "train", "rows"],
+        names=["chunk", "n_words", *_PARTS, "rows"],
     )
 
 
@@ -145,27 +148,27 @@ class _Asking:
     def total(self, kind: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray | None:
         if not len(keys):
             return np.empty(0, np.int64)
+        if kind in self.answers:
+            totals = np.concatenate([unsqueeze(data) for _, data in sorted(self.answers[kind].items())])
+            # Words are distinct and in order already.
+            return totals if len(totals) == len(keys) and kind == 0 else totals[np.unique(keys, return_inverse=True)[1]]
         distinct, sums, places = _grouped(keys, values)
-        bucket = (distinct % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        used, starts = np.unique(bucket[order], return_index=True)
-        slices = dict(zip(used.tolist(), np.split(order, starts[1:])))
-        if kind not in self.answers:
-            self.rows += [(kind, b, distinct[at].tobytes(), sums[at].tobytes()) for b, at in slices.items()]
-            return None
-        found = np.zeros(len(distinct), np.int64)
-        for b, at in slices.items():
-            found[at] = np.frombuffer(self.answers[kind][b], np.int64)
-        return found[places]
+        # Buckets are ranges of keys, so keys in order are buckets in order.
+        bucket = ((distinct >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
+        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1)))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(distinct)]):
+            block = squeeze_sorted(distinct[start:end]), squeeze(sums[start:end])
+            self.rows.append((kind, int(bucket[start]), *block))
+        return None
 
 
 def _walk(row: dict, asking: _Asking, settings: dict) -> np.ndarray | None:
     """Probability and training count of every token, or nothing while answers are missing."""
-    words = np.frombuffer(row["words"], np.uint64)
-    tokens = np.frombuffer(row["tokens"], "<i4")
-    bounds = np.frombuffer(row["bounds"], "<i8")
+    words = unsqueeze_sorted(row["words"])
+    tokens = unsqueeze(row["order"])[unsqueeze(row["tokens"])]
+    bounds = unsqueeze(row["bounds"])
     sizes = np.diff(bounds)
-    train = np.repeat(np.frombuffer(row["train"], "u1").astype(np.int64), sizes)
+    train = np.repeat(unsqueeze(row["train"]), sizes)
     own = np.bincount(tokens, weights=train, minlength=len(words)).astype(np.int64)
     counts = asking.total(0, words, own)
     if counts is None:
@@ -206,18 +209,28 @@ def _read(table: pa.Table, buckets: int) -> tuple[dict, _Asking]:
     kinds, answers, row = table.column("kind").to_pylist(), {}, None
     for i, kind in enumerate(kinds):
         if kind < 0:
-            names = ("chunk", "words", "tokens", "bounds", "train")
-            row = {name: table.column(name)[i].as_py() for name in names}
+            row = {name: table.column(name)[i].as_py() for name in ("chunk", *_PARTS)}
         else:
             answers.setdefault(kind, {})[table.column("bucket")[i].as_py()] = table.column("totals")[i].as_py()
     return row, _Asking(row["chunk"], buckets, answers)
 
 
+def _first_asker(buckets: int, settings: dict):
+    ask = _asker(buckets, settings)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from ask(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
+    return each
+
+
 def _asker(buckets: int, settings: dict):
     def ask(table: pa.Table) -> pa.Table:
         row, asking = _read(table, buckets)
         _walk(row, asking, settings)
-        kinds, places, keys, counts = zip(*asking.rows) if asking.rows else ((), (), (), ())
+        kinds, places, keys, counts = zip(*asking.rows) if asking.rows else [()] * 4
         return pa.table(
             [
                 pa.array([row["chunk"]] * len(kinds), pa.int64()),
@@ -234,8 +247,8 @@ def _asker(buckets: int, settings: dict):
 
 def _add_up(table: pa.Table) -> pa.Table:
     """Totals of one bucket's keys over all chunks, back in the order in which each chunk asked."""
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()]
+    keys = [unsqueeze_sorted(k) for k in table.column("keys").to_pylist()]
+    counts = [unsqueeze(c) for c in table.column("counts").to_pylist()]
     _, sums, places = _grouped(np.concatenate(keys), np.concatenate(counts))
     answers = np.split(sums[places], np.cumsum([len(k) for k in keys])[:-1])
     others = [None] * (len(keys) - 1)
@@ -244,7 +257,7 @@ def _add_up(table: pa.Table) -> pa.Table:
             table.column("chunk"),
             table.column("kind"),
             table.column("bucket"),
-            pa.array([a.tobytes() for a in answers], pa.binary()),
+            pa.array([squeeze(a) for a in answers], pa.binary()),
             pa.array([int(sums.sum()), *others], pa.int64()),
             pa.array([int((sums > 0).sum()), *others], pa.int64()),
         ],
@@ -256,7 +269,7 @@ def _scorer(buckets: int, settings: dict):
     def score(table: pa.Table) -> pa.Table:
         row, asking = _read(table, buckets)
         probability, seen = _walk(row, asking, settings)
-        starts = np.frombuffer(row["bounds"], "<i8")
+        starts = unsqueeze(row["bounds"])
         base = np.log10((seen + 1) / (settings["total"] + settings["distinct"] + 1))
         at = table.column("kind").to_pylist().index(-1)
         rows = table.column("rows")[at].values
@@ -295,7 +308,8 @@ def score_texts(
     learnt = F.coalesce(train, F.lit(False))
     added = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     row = F.struct(*[named(c).alias(c) for c in names], (~learnt).alias("_held_out"))
-    rows = docs.select(row.alias("_row"), F.coalesce(named(text_column), F.lit("")).alias("text"), learnt.alias("train"))
+    text = F.coalesce(named(text_column), F.lit(""))
+    rows = docs.select(row.alias("_row"), text.alias("text"), learnt.alias("train"))
     held = StructType.fromDDL(CHUNK_SCHEMA).add("rows", ArrayType(rows.schema["_row"].dataType))
     chunks = scratch.store(rows.mapInArrow(_chunks(chunk_bytes), held), "chunks", rows_per_file=16)
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
@@ -304,8 +318,13 @@ def score_texts(
     settings |= {"total": 0, "distinct": 0}
     answers = None
     for trip in range(depth + 2):
-        asked = _met(chunks.drop("rows"), answers).groupBy("chunk").applyInArrow(_asker(buckets, settings), ASKED)
+        if trip == 0:
+            asked = _met(chunks.drop("rows"), None).mapInArrow(_first_asker(buckets, settings), ASKED)
+        else:
+            asked = _met(chunks.drop("rows"), answers).groupBy("chunk").applyInArrow(_asker(buckets, settings), ASKED)
         more = scratch.store(asked.groupBy("kind", "bucket").applyInArrow(_add_up, ANSWERED), f"answers-{trip}")
+        del asked
+        scratch.tidy()
         if trip == 0:
             total, distinct = more.agg(F.sum("total"), F.sum("distinct_keys")).first()
             settings |= {"total": total or 0, "distinct": distinct or 0}
