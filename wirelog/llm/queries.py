@@ -101,4 +101,8 @@ QUERIES = {
         op12_alignment, op13_spelling,
     )
 }
-ORACLES = {"op4_jaccard_join": oracles.JACCARD_JOIN, "op7_warc": oracles.WARC}
+ORACLES = {
+    "op4_jaccard_join": oracles.JACCARD_JOIN,
+    "op7_warc": oracles.WARC,
+    "op13_spelling": oracles.SPELLING,
+}
