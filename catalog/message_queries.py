@@ -241,21 +241,31 @@ FROM bytes WHERE len(codes) > 0 UNION ALL
 SELECT false, md5('') FROM lines WHERE line = ''"""
 
 
-@query("lines", LINES_SQL)
-def lines(spark, sf_dir):
-    """The documents' lines in Latin-1, which is no UTF-8, every fifth with carriage returns."""
+def _framed_documents(spark, sf_dir, bounded):
     path = scratch_path(spark, "lines")
     docs = X.table(spark, sf_dir, "documents")
     returns = F.when(F.col("doc_id") % 5 == 0, F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r")))
     raw = latin1_bytes(F.coalesce(returns, F.col("text")))
     docs.select(raw.cast("string").alias("value")).write.text(path)
-    messages, rejects = read_lines(spark, path, max_line=80)
+    messages, rejects = read_lines(spark, path, max_line=80, bounded=bounded)
     both = messages.select(F.lit(False).alias("refused"), "payload").unionByName(
         rejects.select(F.lit(True).alias("refused"), F.col("data").alias("payload"))
     )
     return both.select("refused", F.md5(F.hex("payload").cast("binary")).alias("digest"))
 
 
+@query("lines", LINES_SQL)
+def lines(spark, sf_dir):
+    """The documents' lines in Latin-1, which is no UTF-8, every fifth with carriage returns."""
+    return _framed_documents(spark, sf_dir, bounded=False)
+
+
+@query("lines_bounded", LINES_SQL.replace("list_transform(codes,", "list_transform(codes[1:82],"))
+def bounded_lines(spark, sf_dir):
+    """The same by byte ranges; a refused line shows its first bytes."""
+    return _framed_documents(spark, sf_dir, bounded=True)
+
+
 @query(
     "write_text",
     """SELECT md5(unnest(string_split(CASE WHEN doc_id % 3 = 0 THEN ''

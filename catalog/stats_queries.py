@@ -8,7 +8,7 @@ from catalog import fixtures as X
 from catalog.message_queries import ROUTED_SQL, _routable_events
 from catalog.registry import DOCS, query
 from wirelog.operators.decode import valid_fragments
-from wirelog.operators.defrag import defrag_cache_stats, defragment, reassemble
+from wirelog.operators.defrag import defragment, reassemble
 from wirelog.operators.routing import route
 from wirelog.operators.stats import (
     checksum_histogram,
@@ -18,10 +18,11 @@ from wirelog.operators.stats import (
     handler_stats,
     invalid_histogram,
     size_profile,
-    statistics,
     stats_json,
     triangle,
 )
+from wirelog.plans.decode_capture import decode_capture
+from wirelog.session import scratch_path
 from wirelog.streaming.stats import rates
 
 COUNTERS_SQL = """SELECT 'udp' || CAST(user_id % 3 AS VARCHAR) AS listener,
@@ -163,48 +164,81 @@ def rate_rows(spark, sf_dir):
     return found.select("topic", "span", F.unix_micros("window_start").alias("start_us"), "messages")
 
 
+#: Fragments that were lost or lost a byte, and what the four histograms are made of.
+DAMAGED_SQL = f""", seen AS (
+  SELECT *, (doc_id * 31 + i) % 97 = 0 AS lost, doc_id % 41 = 0 AND n > 2 AND i = 1 AS short FROM f
+), whole AS (
+  SELECT doc_id, any_value(n) AS n, bool_or(lost OR short) AS partial, count(*) FILTER (WHERE NOT lost) AS k
+  FROM seen GROUP BY doc_id HAVING NOT bool_and(lost)
+), cells AS (
+  SELECT 'fragments' AS histogram, 0 AS r, {BITS.format("i")} AS s FROM seen WHERE NOT lost
+  UNION ALL SELECT 'invalid', {BITS.format("(n - 1)")}, {BITS.format("i")} FROM seen WHERE short AND NOT lost
+  UNION ALL SELECT 'checksum', 0, {BITS.format("(n - 1)")} FROM whole WHERE NOT partial AND doc_id % 53 = 0
+  UNION ALL SELECT 'dropped', {BITS.format("(n - 1)")}, {BITS.format("i")} FROM seen SEMI JOIN whole USING (doc_id)
+  WHERE lost OR short
+)"""
+
+_LINE = """(SELECT string_agg(coalesce(k, 0), ',' ORDER BY x) FROM range(0, 17) AS t(x)
+  LEFT JOIN (SELECT s, count(*) AS k FROM cells WHERE histogram = '{0}' GROUP BY s) ON s = x)"""
+_TRIANGLE = """(SELECT string_agg(line, ';' ORDER BY y) FROM (
+  SELECT y, string_agg(coalesce(k, 0), ',' ORDER BY x) AS line
+  FROM range(0, 17) AS a(y) JOIN range(0, 17) AS b(x) ON x <= y
+  LEFT JOIN (SELECT r, s, count(*) AS k FROM cells WHERE histogram = '{0}' GROUP BY r, s) ON r = y AND s = x
+  GROUP BY y))"""
+_NO_LINE = "array_to_string(list_transform(range(0, 17), lambda x: 0), ',')"
+_NO_TRIANGLE = """array_to_string(list_transform(range(1, 18),
+  lambda y: array_to_string(list_transform(range(0, y), lambda x: 0), ',')), ';')"""
+
+
 @query(
     "stats_json",
     DOCS
-    + LOST_SQL
-    + """, n_got AS (SELECT doc_id, any_value(n) AS n, count(*) AS k FROM f
-   WHERE (doc_id * 31 + i) % 97 <> 0 GROUP BY doc_id)
- SELECT 'udp' AS listener, CAST(0 AS BIGINT) AS udp_simple_messages,
- CAST((SELECT count(*) FROM n_got WHERE n = k) AS BIGINT) AS v0_multipart_messages,
- CAST((SELECT count(*) FROM n_got WHERE n > 1 AND k < n) AS BIGINT) AS evictions,
- CAST((SELECT sum(k) - count(*) FROM n_got WHERE n > 1) AS BIGINT) AS hits,
- CAST((SELECT sum(k) FROM n_got) AS BIGINT) AS fragments,
- CAST((SELECT sum(fragments) FROM cells WHERE count_log2 > 0) AS BIGINT) AS dropped, 17 AS lines""",
+    + DAMAGED_SQL
+    + f""", e AS ({COUNTERS_SQL})
+ SELECT e.*, CAST(0 AS BIGINT) AS v0_multipart_messages, CAST(0 AS BIGINT) AS holes_from_new_message,
+  CAST(0 AS BIGINT) AS holes_from_dead_port, CAST(0 AS BIGINT) AS unhandled_objects, CAST(0 AS BIGINT) AS evictions,
+  CAST(0 AS BIGINT) AS hits, CAST(0 AS BIGINT) AS misses, {_NO_LINE} AS v0_fragments, {_NO_LINE} AS v0_invalid_checksum,
+  {_NO_TRIANGLE} AS v0_invalid_fragments, {_NO_TRIANGLE} AS dropped_fragments, 0 AS handlers FROM e
+ UNION ALL BY NAME
+ SELECT 'udp' AS listener, CAST(0 AS BIGINT) AS udp_simple_messages, CAST(0 AS BIGINT) AS udp_invalid_version,
+  CAST(0 AS BIGINT) AS v0_invalid_type, CAST(0 AS BIGINT) AS v0_invalid_multipart_header, CAST(0 AS BIGINT) AS unknown_command,
+  CAST(0 AS BIGINT) AS v0_commands, CAST(0 AS BIGINT) AS exceptions,
+  CAST((SELECT count(*) FROM seen WHERE NOT lost) AS BIGINT) AS v0_multipart_fragments,
+  CAST((SELECT count(*) FROM whole WHERE NOT partial AND doc_id % 53 <> 0) AS BIGINT) AS v0_multipart_messages,
+  CAST(0 AS BIGINT) AS holes_from_new_message, CAST(0 AS BIGINT) AS holes_from_dead_port, CAST(0 AS BIGINT) AS unhandled_objects,
+  CAST((SELECT count(*) FROM whole WHERE n > 1 AND partial) AS BIGINT) AS evictions,
+  CAST((SELECT sum(k) - count(*) FROM whole WHERE n > 1) AS BIGINT) AS hits,
+  CAST((SELECT count(*) FROM whole WHERE n > 1) AS BIGINT) AS misses,
+  {_LINE.format("fragments")} AS v0_fragments, {_LINE.format("checksum")} AS v0_invalid_checksum,
+  {_TRIANGLE.format("invalid")} AS v0_invalid_fragments, {_TRIANGLE.format("dropped")} AS dropped_fragments, 0 AS handlers""",
 )
 def document(spark, sf_dir):
-    packets = X.lost(X.document_packets(spark, sf_dir))
-    fragments = valid_fragments(packets)
-    several = defragment(fragments.where(F.col("fragment_count") > 1))
-    rows = statistics(
-        packets,
-        fragments,
-        reassemble(fragments),
-        several.invalid,
-        several.generations,
-        defrag_cache_stats(several.generations),
-    )
-    shape = (
-        "udp_simple_messages bigint, v0_multipart_messages bigint, v0_fragments array<bigint>, "
-        "dropped_fragments array<array<bigint>>, "
-        "defragmenter struct<evictions: bigint, hits: bigint, misses: bigint>"
-    )
-    parsed = stats_json(rows).select("listener", F.from_json("stats", shape).alias("s"))
-
-    def total(numbers):
-        return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    """Every field of the document, on a capture with losses, short fragments, wrong checksums and all other packets."""
+    damaged = X.corrupted(X.shortened(X.lost(X.document_packets(spark, sf_dir))))
+    columns = ["listener", "ts", "seq", "sender_host", "sender_port", "data"]
+    path = scratch_path(spark, "mixed")
+    damaged.select(*columns).unionByName(X.event_packets(spark, sf_dir).select(*columns)).write.parquet(f"{path}/packets")
+    packets = spark.read.parquet(f"{path}/packets")
+    rows = decode_capture(packets, fragments_path=f"{path}/fragments", detect_holes=False).statistics
+    scalars = [
+        "udp_simple_messages", "udp_invalid_version", "v0_invalid_type", "v0_invalid_multipart_header", "unknown_command",
+        "v0_commands", "exceptions", "v0_multipart_fragments", "v0_multipart_messages", "holes_from_new_message",
+        "holes_from_dead_port", "unhandled_objects",
+    ]
+    lines, triangles = ["v0_fragments", "v0_invalid_checksum"], ["v0_invalid_fragments", "dropped_fragments"]
+    shape = [f"{name} bigint" for name in scalars]
+    shape += [f"{name} array<bigint>" for name in lines] + [f"{name} array<array<bigint>>" for name in triangles]
+    shape += ["defragmenter struct<evictions: bigint, hits: bigint, misses: bigint>", "handlers array<struct<name: string>>"]
+    parsed = stats_json(rows).select("listener", F.from_json("stats", ", ".join(shape)).alias("s"))
+
+    def joined(numbers):
+        return F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",")
 
     return parsed.select(
         "listener",
-        "s.udp_simple_messages",
-        "s.v0_multipart_messages",
-        "s.defragmenter.evictions",
-        "s.defragmenter.hits",
-        total(F.col("s.v0_fragments")).alias("fragments"),
-        total(F.flatten("s.dropped_fragments")).alias("dropped"),
-        F.size("s.dropped_fragments").alias("lines"),
+        *[F.col(f"s.{name}") for name in scalars],
+        "s.defragmenter.*",
+        *[joined(F.col(f"s.{name}")).alias(name) for name in lines],
+        *[F.array_join(F.transform(f"s.{name}", joined), ";").alias(name) for name in triangles],
+        F.size("s.handlers").alias("handlers"),
     )

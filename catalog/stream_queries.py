@@ -8,10 +8,11 @@ from catalog import fixtures as X
 from catalog.hole_queries import IDLE, TRACK_SQL
 from catalog.message_queries import ROUTED_SQL, _routable_events
 from catalog.registry import DOCS, IDS, query
-from catalog.stats_queries import COUNTERS_SQL
+from catalog.stats_queries import COUNTERS_SQL, DAMAGED_SQL
 from wirelog.operators.decode import valid_fragments
 from wirelog.operators.defrag import with_checksum
 from wirelog.operators.routing import route
+from wirelog.operators.sketches import POINTS, RANK_ERROR, merge_sketches, profile_of, size_sketches
 from wirelog.session import scratch_path
 from wirelog.sources.readers import read_packets
 from wirelog.streaming.decode import decode_stream
@@ -19,7 +20,7 @@ from wirelog.streaming.defrag import defragment_session, defragment_stream
 from wirelog.streaming.holes import holes_stream
 from wirelog.streaming.ordered import defragment_in_order, holes_in_order, state_store
 from wirelog.streaming.run import run_available
-from wirelog.streaming.stats import rate, stats_stream
+from wirelog.streaming.stats import health, health_cells, rate, stats_stream, write_health
 
 PACKET_COLUMNS = ["listener", "ts", "seq", "sender_host", "sender_port", "data"]
 
@@ -220,6 +221,55 @@ def running(spark, sf_dir):
     return latest.select("listener", "_last.*")
 
 
+@query(
+    "stats_stream_histograms",
+    DOCS
+    + DAMAGED_SQL
+    + """SELECT 'udp' AS listener, histogram, CAST(r AS INTEGER) AS line, CAST(s AS INTEGER) AS slot,
+ CAST(count(*) AS BIGINT) AS n FROM cells GROUP BY ALL""",
+)
+def running_histograms(spark, sf_dir):
+    """The four histograms of the statistics document, added up micro-batch by micro-batch."""
+    packets = X.corrupted(X.shortened(X.lost(X.document_packets(spark, sf_dir))))
+    fragments = fragment_stream(spark, packets)
+    path = scratch_path(spark, "health")
+    query = write_health(health_cells(fragments, defragment_stream(fragments)), path, scratch_path(spark, "health-state"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    rows = health(spark, path).where("listener <> 'closing'")
+    flat = [
+        rows.select("listener", F.lit(name).alias("histogram"), F.lit(0).alias("line"), F.posexplode(name).alias("slot", "n"))
+        for name in ("fragments", "checksum")
+    ]
+    for name in ("invalid", "dropped"):
+        lines = rows.select("listener", F.lit(name).alias("histogram"), F.posexplode(name).alias("line", "_cells"))
+        flat.append(lines.select("listener", "histogram", "line", F.posexplode("_cells").alias("slot", "n")))
+    union = flat[0]
+    for part in flat[1:]:
+        union = union.unionByName(part)
+    return union.where("n > 0")
+
+
+@query(
+    "size_profile_stream",
+    """SELECT 'udp' AS listener, CAST(count(*) AS BIGINT) AS n, CAST(min(size) AS BIGINT) AS smallest,
+ CAST(max(size) AS BIGINT) AS largest, CAST(sum(size) AS BIGINT) AS total, true AS ranks_hold
+ FROM (SELECT octet_length(encode(text)) AS size FROM documents)""",
+)
+def sizes_of_a_stream(spark, sf_dir):
+    """Sketches of five-minute windows of a stream, merged; their quantiles are held against all sizes."""
+    rows = X.document_messages(spark, sf_dir).select("listener", "ts", "seq", F.octet_length("payload").alias("size"))
+    stream = spark.readStream.schema(rows.schema).parquet(stored(with_closing_row(rows), "sizes"))
+    windows = run_available(size_sketches(stream, F.col("size"), window="5 minutes"), "sketches")
+    profile = profile_of(merge_sketches(windows.where("listener <> 'closing'")))
+    holds = F.lit(True)
+    for p in POINTS:
+        value = F.col(f"p{int(p * 100)}")
+        below, upto = (F.avg(test.cast("double")) for test in (F.col("size") < value, F.col("size") <= value))
+        holds = holds & (below <= p + RANK_ERROR) & (upto >= p - RANK_ERROR)
+    exact = ["n", "smallest", "largest", "total"]
+    return rows.join(profile, "listener").groupBy("listener", *exact).agg(holds.alias("ranks_hold"))
+
+
 @query(
     "rates_stream",
     ROUTED_SQL

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wirelog.operators.messages import format_messages, parse_events, split_events_by_type
 from wirelog.operators.routing import assign_partition, decrypt, drop_null_topic, encrypt, route
-from wirelog.plans.handlers import Reverse, Truncate, apply_handlers
+from wirelog.plans.handlers import Reverse, Truncate, apply_handlers, handlers_column
 from wirelog.sources.readers import lines_to_messages, read_lines
 from wirelog.sources.sinks import count_sink, fan_out, kafka_rows
 
@@ -111,3 +111,45 @@ def test_sinks(spark):
     chain = [(lambda df, n=n: seen.append((n, df.count())), keep) for n, keep in sinks]
     fan_out(rows, chain)
     assert seen == [("a", 3), ("b", 3)]
+
+
+def test_a_killed_sink_repeats_nothing(spark, tmp_path):
+    """The second sink dies twice; afterwards each sink has each message once, computed once."""
+    rows = _messages(spark, [(b"m%d" % n, []) for n in range(20)])
+    computed = spark.sparkContext.accumulator(0)
+    counting = F.udf(lambda x: computed.add(1) or x, "binary")
+    rows = rows.withColumn("payload", counting("payload"))
+    deaths = []
+
+    def into(name):
+        def write(messages):
+            if name == "second" and len(deaths) < 2:
+                deaths.append(1)
+                raise OSError("disk gone")
+            messages.select("payload").write.mode("append").parquet(f"{tmp_path}/{name}")
+
+        write.__name__ = name
+        return write
+
+    chain = [(into("first"), True), (into("second"), True), (into("third"), True)]
+    path = f"{tmp_path}/chain"
+    with pytest.raises(OSError):
+        fan_out(rows, chain, path)
+    reports = fan_out(rows, chain, path, tolerant=True)
+    assert [(r["name"], r["logged_messages"], r["failed_messages"]) for r in reports] == [
+        ("first", 20, 0), ("second", 0, 20), ("third", 20, 0),
+    ]
+    for _ in range(2):
+        fan_out(rows, chain, path)
+    for name in ("first", "second", "third"):
+        assert sorted(bytes(r.payload) for r in spark.read.parquet(f"{tmp_path}/{name}").collect()) == sorted(
+            b"m%d" % n for n in range(20)
+        )
+    assert computed.value == 20
+    shown = json.loads(rows.limit(1).select(F.to_json(handlers_column(reports)).alias("j")).first().j)
+    assert shown[1] == {"name": "second", "failed_messages": 20, "logged_messages": 0, "seen_messages": 20}
+
+
+def test_fan_out_of_nothing(spark, tmp_path):
+    rows = _messages(spark, [(b"m", [])]).limit(0)
+    assert fan_out(rows, [(lambda df: df.count(), True)], str(tmp_path / "x"))[0]["seen_messages"] == 0

@@ -121,6 +121,19 @@ def test_listeners_have_their_own_settings(spark, packets_of):
     assert rows == {"quick": 2, "udp": 0}
 
 
+def test_listeners_stored_apart(spark, packets_of, tmp_path):
+    """The capture is stored once by listener; fragments of each lie in a folder of their own."""
+    packets = _capture(packets_of)
+    both = packets.unionByName(packets.withColumn("listener", F.lit("quick/1")))
+    both = both.unionByName(packets.withColumn("listener", F.lit(None).cast("string")))
+    settings = {"quick/1": {"expire": "1 second"}, "udp": {}}
+    plain = decode_listeners(both, settings, {"detect_holes": False})
+    stored = decode_listeners(both, settings, {"detect_holes": False, "fragments_path": str(tmp_path / "kept")})
+    for table in ("messages", "rejects", "commands", "statistics"):
+        rows = [sorted(map(str, getattr(capture, table).drop("ts").collect())) for capture in (plain, stored)]
+        assert rows[0] == rows[1] and (rows[0] or table == "commands"), table
+
+
 def test_dropped_histogram_equals_listing(spark):
     rows = [("udp", n, sorted(set(range(0, n, k)) - {0})) for n, k in [(2, 1), (9, 2), (300, 7), (65535, 1000)]]
     frame = spark.createDataFrame(rows, "listener string, n int, indices array<int>").select(

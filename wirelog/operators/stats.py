@@ -220,6 +220,8 @@ def statistics(
     return result.select(
         "listener",
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in scalar_names],
+        # Every packet has a kind here, so none is left without a handler.
+        F.lit(0).cast("bigint").alias("unhandled_objects"),
         *[
             F.coalesce(c, zero_row).alias(c)
             for c in ("v0_fragments", "v0_invalid_checksum")

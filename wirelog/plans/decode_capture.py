@@ -150,14 +150,27 @@ def decode_listeners(
     packets: DataFrame, settings: dict[str, dict], defaults: dict | None = None
 ) -> Capture:
     """Decode each listener of ``settings`` with its own arguments of :func:`decode_capture`,
-    which fall back to ``defaults``; rows of other listeners are decoded with the defaults."""
-    defaults = defaults or {}
+    which fall back to ``defaults``; rows of other listeners are decoded with the defaults.
+
+    With a ``fragments_path`` in ``defaults`` the capture is read once and stored there by listener, so each
+    decoding reads its own part; their fragments lie beside it, a folder for each.
+    """
+    defaults = dict(defaults or {})
+    path = defaults.pop("fragments_path", None)
+    if path:
+        packets.write.partitionBy("listener").parquet(f"{path}/by-listener")
+        packets = packets.sparkSession.read.schema(packets.schema).parquet(f"{path}/by-listener")
+
+    def place(name: str) -> dict:
+        return {"fragments_path": f"{path}/fragments-{name}"} if path else {}
+
     own = [
-        decode_capture(packets.where(F.col("listener") == name), **{**defaults, **arguments})
-        for name, arguments in settings.items()
+        decode_capture(packets.where(F.col("listener") == name), **{**defaults, **place(str(n)), **arguments})
+        for n, (name, arguments) in enumerate(settings.items())
     ]
     named = F.col("listener").isin(list(settings)) if settings else F.lit(False)
-    parts = [*own, decode_capture(packets.where(~F.coalesce(named, F.lit(False))), **defaults)]
+    others = packets.where(~F.coalesce(named, F.lit(False)))
+    parts = [*own, decode_capture(others, **defaults, **place("others"))]
 
     def every(table: str) -> DataFrame:
         return reduce(DataFrame.unionByName, [getattr(part, table) for part in parts])

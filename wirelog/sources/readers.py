@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wirelog.functions.binary import slice_bytes
 from wirelog.schemas import DEFAULT_MAX_LINE, DEFAULT_RECEIVE_SIZE, MESSAGE_COLUMNS, PACKETS
+from wirelog.sources.framed_lines import FramedLines
 
 
 def read_packets(
@@ -65,8 +66,19 @@ def read_lines(
     max_line: int = DEFAULT_MAX_LINE,
     reserved: str = "keep",
     streaming: bool = False,
+    bounded: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(untagged messages, rejects) of newline-framed text files."""
+    """(untagged messages, rejects) of newline-framed text files.
+
+    With ``bounded`` no line is held whole: files are read by byte ranges, and of a line over ``max_line``
+    only its beginning is kept, as the reject's data (see ``framed_lines`` for the stores it reaches).
+    """
+    if bounded:
+        if streaming:
+            raise ValueError("bounded lines are read from files at rest")
+        spark.dataSource.register(FramedLines)
+        lines = spark.read.format("framed_lines").option("max_line", max_line).load(path)
+        return lines_to_messages(lines, listener, max_line, reserved)
     reader = spark.readStream if streaming else spark.read
     return lines_to_messages(reader.text(path, lineSep="\n"), listener, max_line, reserved)
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from wirelog.operators.messages import format_messages
 from wirelog.operators.routing import drop_null_topic
+from wirelog.session import scratch_path
+from wirelog.sources.ledger import Ledger
 
 Sink = Callable[[DataFrame], None]
 
@@ -61,32 +62,71 @@ def count_sink(messages: DataFrame) -> int:
     return seen.get["n"]
 
 
-def fan_out(messages: DataFrame, sinks: list[tuple[Sink, bool]]) -> None:
+def fan_out(
+    messages: DataFrame,
+    sinks: list[tuple[Sink, bool]],
+    path: str | None = None,
+    batch: int = 0,
+    tolerant: bool = False,
+) -> list[dict]:
     """Ordered chain of (sink, propagate): the first sink that does not propagate ends it.
 
-    The messages are kept (spilling to disk) while several sinks read them; a lost executor
-    only means recomputing its part.
+    Where several sinks are reached the messages are computed once and written below ``path``, and
+    each sink reads them there. A ledger beside them notes every sink that is through with
+    ``batch``: called again with the same ``path`` and ``batch``, after whatever failure, the chain
+    repeats no finished sink and computes nothing anew. The messages go when all are through.
+    A sink that appends files by one Spark job thus has each message once.
+
+    Returns what each sink saw, in the form that ``handlers_column`` shows: ``seen_messages``, and the
+    ``logged_messages`` it took or the ``failed_messages`` it refused. A failing sink ends the chain
+    with its error; a ``tolerant`` one goes on, and leaves the failed sink open in the ledger.
     """
     reached = []
     for sink, propagate in sinks:
         reached.append(sink)
         if not propagate:
             break
-    if len(reached) == 1:
-        reached[0](messages)
-        return
-    kept = messages.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for sink in reached:
-            sink(kept)
-    finally:
-        kept.unpersist()
+    spark = messages.sparkSession
+    folder = f"{(path or scratch_path(spark, 'fan-out')).rstrip('/')}/{batch}"
+    ledger = Ledger(spark, folder)
+    if not ledger.has("messages/_SUCCESS") and not ledger.has("finished"):
+        messages.write.mode("overwrite").parquet(f"{folder}/messages")
+    if ledger.has("finished"):
+        return []
+    kept = spark.read.schema(messages.schema).parquet(f"{folder}/messages")
+    seen, reports, failures = kept.count(), [], 0
+    for place, sink in enumerate(reached):
+        report = {"name": getattr(sink, "__name__", f"sink-{place}"), "seen_messages": seen}
+        if not ledger.has(f"done-{place}"):
+            try:
+                sink(kept)
+            except Exception:
+                if not tolerant:
+                    raise
+                failures += 1
+                reports.append({**report, "failed_messages": seen, "logged_messages": 0})
+                continue
+            ledger.note(f"done-{place}")
+        reports.append({**report, "failed_messages": 0, "logged_messages": seen})
+    if not failures:
+        ledger.note("finished")
+        ledger.drop("messages")
+    return reports
 
 
 def fan_out_stream(messages: DataFrame, sinks: list[tuple[Sink, bool]], checkpoint: str):
-    """The same chain for a stream, per micro-batch."""
+    """The same chain for a stream, per micro-batch; its ledger lies beside the checkpoint.
 
-    def write(batch: DataFrame, _: int) -> None:
-        fan_out(batch, sinks)
+    Spark may run the last micro-batch again after a failure, never an earlier one, so the notes
+    of a batch are dropped once a later one is through.
+    """
+    path = f"{checkpoint.rstrip('/')}-sinks"
+
+    def write(batch: DataFrame, number: int) -> None:
+        fan_out(batch, sinks, path, number)
+        ledger = Ledger(batch.sparkSession, path)
+        for name in ledger.names():
+            if name.isdigit() and int(name) < number:
+                ledger.drop(name)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
