@@ -77,3 +77,20 @@ def test_damage_costs_only_the_damaged_record():
     whole = b"junk" + members[0] + members[1][:20] + b"\0" * (len(members[1]) - 20) + members[2]
     seen = [r["payload"] for r in warc.records_in(io.BytesIO(whole), len(whole), 0, len(whole))]
     assert seen[-1] == b"three" and b"two" not in seen
+
+
+def test_a_header_of_megabytes_is_read_back(spark):
+    """A url of 3 MB that doesn't compress makes a header that no bound on headers may cut."""
+    draw = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_%ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    url = "http://example.org/" + "".join(draw.choices(letters, k=3_000_000))
+    rows = [(1, "http://a/", "one"), (2, url, "two"), (3, "http://b/", "three"), (4, url, "two")]
+    found = warc.archive_pages(spark.createDataFrame(rows, PAGES), split_bytes=100_000).collect()
+    assert len(found) == 4 and set(map(tuple, found)) == expected(rows)
+
+
+def test_thousands_of_equal_pages(spark):
+    pages = spark.range(20_000).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "'same' AS html")
+    found = warc.archive_pages(pages, split_bytes=1 << 16)
+    assert found.count() == 20_000
+    assert found.where("record_type = 'revisit' AND refers_to = 19999 AND payload_bytes = 4").count() == 19_999

@@ -5,6 +5,9 @@ reader deals byte ranges of the files to tasks. A task looks for the gzip magic
 of its range, accepts a place only if a member decodes from there into a WARC header and ends
 where another member or the file ends, owns the records that start inside its range, and reads
 past its end to finish the last one. Every record is thus read once, whatever the split size.
+
+Archives are written and read through pyarrow's file systems (local, HDFS, S3, GCS); a shared folder
+of another kind can't hold them.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ SPLIT_BYTES = 32 << 20
 ARCHIVE_BYTES = 256 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 16
-_HEADER_LIMIT = 1 << 20
 _SCHEMA = "record_id string, record_type string, uri string, refers_to string, digest string, payload binary"
 
 
@@ -126,7 +128,7 @@ class _Source:
 def _member(file, at: int, size: int) -> tuple[bytes, int] | None:
     """Content and end of the gzip member at ``at``; nothing if none with a WARC header is there."""
     unpacker, content, checked, place = zlib.decompressobj(31), [], False, at
-    head = b""
+    begin, tail = b"", b""
     while not unpacker.eof:
         file.seek(place)
         data = file.read(_READ)
@@ -139,13 +141,11 @@ def _member(file, at: int, size: int) -> tuple[bytes, int] | None:
         place += len(data)
         content.append(piece)
         if not checked:
-            head += piece
-            if head[:5] != b"WARC/"[: len(head[:5])]:
-                return None
-            if b"\r\n\r\n" in head:
-                checked = True
-            elif len(head) > _HEADER_LIMIT:
+            begin = (begin + piece[:5])[:5]
+            if begin != b"WARC/"[: len(begin)]:
                 return None
+            checked = b"\r\n\r\n" in tail + piece
+            tail = (tail + piece)[-3:]
     return (b"".join(content), place - len(unpacker.unused_data)) if checked else None
 
 
@@ -260,6 +260,8 @@ def archive_pages(
         F.encode(F.coalesce(named(payload_column), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
     largest = rows.groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
+    # Stored, so that the join below reads it as a table of its own and a frequent payload can be split.
+    largest = scratch.store(largest, "largest")
     revisit = (
         F.col("largest").isNotNull()
         & ~F.col("page_id").eqNullSafe(F.col("largest"))
@@ -285,6 +287,7 @@ def archive_pages(
     full = described.where("record_type = 'response'").groupBy("record_id", "digest").agg(
         F.first("payload_bytes").alias("full_bytes")
     )
+    full = scratch.store(full, "full")
     page = lambda c: F.nullif(F.substring(c, len("urn:page:") + 1, 1 << 20), F.lit("")).cast(kind)
     back = described.join(
         full.select(F.col("record_id").alias("refers_to"), "digest", "full_bytes"), ["refers_to", "digest"], "left"
