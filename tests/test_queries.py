@@ -19,6 +19,10 @@ SAMPLE = [
     "key_group_partition",
     "stats_json",
     "lines",
+    "lines_bounded",
+    "id_epochs",
+    "size_profile_stream",
+    "stats_stream_histograms",
     "write_text",
     "session_singles",
     "loss_report_nulls",
