@@ -66,6 +66,37 @@ def test_stream_replica_opens_phantoms(spark, packets_of, tmp_path):
     assert kinds == ["incomplete", "message"]
 
 
+def test_neighbouring_ids_share_a_state_row(spark, packets_of, tmp_path):
+    """Python is called, and state kept, for groups of ids and not for every one."""
+    digest = murmur3(b"ab")
+    halves = [(9, n, fragment(2, n % 2, 1, n // 2, 2, digest, b"ab"[n % 2 : n % 2 + 1])) for n in range(640)]
+    path = str(tmp_path / "in")
+    packets_of(halves).coalesce(1).write.parquet(path)
+    outcomes = defragment_stream(valid_fragments(read_packets(spark, path, streaming=True)), "1 second")
+    writer = outcomes.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(kept) <= 20
+
+
+def test_ids_of_one_group_expire_each_by_its_own_lease(spark, packets_of, tmp_path):
+    """Ids 1 to 3 are neighbours: one is never whole, one is, and one comes again after its lease."""
+    digest = murmur3(b"ab")
+    a, b = (lambda m, i=i: fragment(2, i, 1, m, 2, digest, b"ab"[i : i + 1]) for i in (0, 1))
+    rows = [(9, 5, a(1)), (9, 6, a(2)), (9, 7, a(3)), (9, 900, b(2)), (9, 2500, a(3)), (9, 2600, b(3)), (9, 2700, b(2))]
+    for pieces in (1, 7):
+        stream = _fragment_stream(spark, packets_of, rows, str(tmp_path / f"in{pieces}"), pieces)
+        found = run_available(defragment_stream(stream, "1 second"), "out").where("sender_port = 9")
+        assert sorted((r.msg_id, r.kind, r.us) for r in found.collect()) == [
+            (1, "incomplete", 5000),
+            (2, "incomplete", 2_700_000),
+            (2, "message", 900_000),
+            (3, "incomplete", 7000),
+            (3, "message", 2_600_000),
+        ]
+
+
 @pytest.mark.parametrize("pieces", [1, 3])
 def test_session_equals_model(spark, packets_of, tmp_path, pieces):
     rows = _random_rows(12, rows=200)

@@ -16,25 +16,37 @@ from wirelog.operators.message_state import PartialMessage
 from wirelog.schemas import DEFAULT_DISORDER, DEFAULT_EXPIRE, HEADER_FIELDS, SENDER
 from wirelog.session import duration_us
 
+# Neighbouring ids of a sender share one state row and one call of Python, whose fixed cost is that of
+# some hundred fragments; more ids would only make the row larger that an arrival writes again.
+IDS_PER_GROUP = 32
+
 STATE = (
-    "count int, size int, hash int, length int, first_us bigint, last_us bigint, "
-    "tags array<string>, done boolean, indices array<int>, payloads array<binary>"
+    "messages array<struct<msg_id int, count int, size int, hash int, length int, first_us bigint, "
+    "last_us bigint, tags array<string>, done boolean, indices array<int>, payloads array<binary>>>"
 )
 
 
-def _load(state: GroupState) -> PartialMessage | None:
-    if not state.exists:
-        return None
-    *header, tags, done, indices, payloads = state.get
-    pieces = {int(i): bytes(p) for i, p in zip(indices, payloads)}
-    tags = None if tags is None else list(tags)
-    return PartialMessage(*map(int, header), tags, bool(done), pieces)
+def id_group() -> Column:
+    return F.floor(F.col("msg_id") / IDS_PER_GROUP).cast("int").alias("id_group")
+
+
+def _load(state: GroupState) -> dict[int, PartialMessage]:
+    messages = {}
+    for msg_id, *header, tags, done, indices, payloads in state.get[0] if state.exists else ():
+        pieces = {int(i): bytes(p) for i, p in zip(indices, payloads)}
+        tags = None if tags is None else list(tags)
+        messages[int(msg_id)] = PartialMessage(*map(int, header), tags, bool(done), pieces)
+    return messages
 
 
-def _save(state: GroupState, message: PartialMessage, expire_us: int) -> None:
-    kept = {} if message.done else message.pieces
-    state.update(
+def _save(state: GroupState, messages: dict[int, PartialMessage], expire_us: int) -> None:
+    if not messages:
+        if state.exists:
+            state.remove()
+        return
+    rows = [
         (
+            msg_id,
             message.count,
             message.size,
             message.hash,
@@ -43,49 +55,56 @@ def _save(state: GroupState, message: PartialMessage, expire_us: int) -> None:
             message.last_us,
             message.tags,
             message.done,
-            list(kept),
-            list(kept.values()),
+            list(message.pieces),
+            list(message.pieces.values()),
         )
-    )
-    deadline = (message.last_us + expire_us) // 1000
+        for msg_id, message in messages.items()
+    ]
+    state.update((rows,))
+    deadline = min(_deadline_ms(message, expire_us) for message in messages.values())
     state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
 
 
+def _deadline_ms(message: PartialMessage, expire_us: int) -> int:
+    return (message.last_us + expire_us) // 1000
+
+
 def _step(expire_us: int, compat: bool):
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sender, msg_id = tuple(key[:3]), key[3]
-        message = _load(state)
-        found = []
+        sender = tuple(key[:3])
+        messages, touched, found = _load(state), set(), []
 
-        def drop() -> None:
+        def drop(msg_id: int) -> None:
+            message = messages.pop(msg_id)
             if not message.done:
                 found.append(outcome(sender, msg_id, "incomplete", message.last_us, message))
 
-        if state.hasTimedOut:
-            drop()
-            state.remove()
-        else:
+        if not state.hasTimedOut:
             arrivals = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
             for fragment in arrivals.itertuples(index=False):
-                us = int(fragment.us)
-                if message is not None and us - message.last_us >= expire_us:
-                    drop()
-                    message = None
-                if message is None:
-                    message = PartialMessage.opened_by(fragment)
+                us, msg_id = int(fragment.us), int(fragment.msg_id)
+                touched.add(msg_id)
+                if msg_id in messages and us - messages[msg_id].last_us >= expire_us:
+                    drop(msg_id)
+                if msg_id not in messages:
+                    messages[msg_id] = PartialMessage.opened_by(fragment)
+                message = messages[msg_id]
                 verdict = message.ingest(fragment)
                 if verdict == "complete":
                     found.append(outcome(sender, msg_id, "message", us, message, whole=True))
+                    message.pieces = {}
                     if compat:
-                        message = None
+                        del messages[msg_id]
                 elif verdict != "stored":
                     index = int(fragment.fragment_index)
                     found.append(outcome(sender, msg_id, verdict, us, message, index))
-            if message is not None:
-                _save(state, message, expire_us)
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(found, columns=NAMES, dtype=object)
+        watermark = state.getCurrentWatermarkMs()
+        for msg_id in [m for m in messages if m not in touched]:
+            if _deadline_ms(messages[msg_id], expire_us) < watermark:
+                drop(msg_id)
+        _save(state, messages, expire_us)
+        if found:
+            yield pd.DataFrame(found, columns=NAMES, dtype=object)
 
     return run
 
@@ -101,10 +120,11 @@ def defragment_stream(
     One output table, by ``kind``: ``message``, ``incomplete`` (after ``expire`` without a
     touch), ``invalid``, ``late_duplicate``. After completion a small marker stays in state
     until the lease ends, so that repeats are recognised; ``compat`` drops it, and a repeat
-    opens a new message. Arrival order is restored within a micro-batch only.
+    opens a new message. Arrival order is restored within a micro-batch only. Ids that follow
+    each other share a state row, see ``IDS_PER_GROUP``.
     """
-    key = [*SENDER, "msg_id"]
-    columns = [*key, *[c for c in HEADER_FIELDS if c != "msg_id"], "tags", "payload", "ts", "seq"]
+    key = [*SENDER, "id_group"]
+    columns = [*SENDER, id_group(), *HEADER_FIELDS, "tags", "payload", "ts", "seq"]
     prepared = fragments.where(F.col("fragment_count") > 1).withWatermark("ts", watermark_delay)
     return (
         prepared.select(*columns, F.unix_micros("ts").alias("us"))
