@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import fixtures as X
 from catalog.hole_queries import IDLE, TRACK_SQL
@@ -111,13 +112,22 @@ def late(spark, sf_dir):
 
 
 def out_of_order(spark, rows, name, span_us):
-    """Stored rows as micro-batches, read one after another: a row is in the batch of its time or the next one."""
+    """Stored rows as micro-batches, read one after another: a row is in the batch of its time or the next one.
+
+    The rows are computed once. A batch is written by as many tasks as the cluster runs at a time and read
+    as so many files; should one be missing, a batch begins with a file of the next, which is no later than
+    twice the span behind.
+    """
     path, first = scratch_path(spark, name), rows.agg(F.min(F.unix_micros("ts"))).first()[0]
     turn = F.floor((F.unix_micros("ts") - F.lit(first)) / span_us) + F.pmod(F.hash("seq"), F.lit(2))
-    placed = rows.withColumn("_batch", turn.cast("int"))
-    for number in range(placed.agg(F.max("_batch")).first()[0] + 1):
-        placed.where(F.col("_batch") == number).drop("_batch").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    placed, files = scratch_path(spark, f"{name}-placed"), spark.sparkContext.defaultParallelism
+    rows.withColumn("_batch", turn.cast("int")).write.partitionBy("_batch").parquet(placed)
+    schema = T.StructType([*rows.schema, T.StructField("_batch", T.IntegerType())])
+    parts = spark.read.schema(schema).parquet(placed)
+    for number in range(parts.agg(F.max("_batch")).first()[0] + 1):
+        batch = parts.where(F.col("_batch") == number).drop("_batch").repartition(files)
+        batch.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", str(files)).parquet(path)
 
 
 @query(

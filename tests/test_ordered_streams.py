@@ -11,7 +11,7 @@ from test_holes import _scan_model
 
 from wirelog.operators.decode import valid_fragments
 from wirelog.sources.readers import read_packets
-from wirelog.streaming.ordered import Reassembler, defragment_in_order, holes_in_order, state_store
+from wirelog.streaming.ordered import IdWatcher, Reassembler, defragment_in_order, holes_in_order, state_store
 from wirelog.streaming.run import run_available
 
 END = 60_000_000
@@ -96,6 +96,62 @@ def test_an_arrival_writes_its_own_piece_only(count):
     assert not found and not processor.header.exists() and not processor.pieces
 
 
+def test_messages_whole_at_once_write_no_piece():
+    """Neighbouring ids of one call: a chunk per 64 rows, and one row of headers."""
+    handle, processor = Handle(), Reassembler(1_000_000)
+    processor.key_names = ["id_group", "sender_port", "sender_host", "listener"]
+    processor.init(handle)
+    names = ["listener", "sender_host", "sender_port", "msg_id", "fragment_count", "fragment_index",
+             "fragment_size", "total_length", "msg_hash", "tags", "payload", "us", "seq"]
+    rows = [Row(*names)("udp", "h", 2, m, 10, n, 1, 10, 0, None, b"%d" % n, 1000 * n, 32 * n + m)
+            for m in range(32) for n in range(10)]
+    random.Random(3).shuffle(rows)
+    assert not list(processor.handleInputRows((0, 2, "h", "udp"), iter(rows), Clock(0)))
+    found = list(processor.handleExpiredTimer((0, 2, "h", "udp"), Clock(100), None))
+    assert sorted((row[3], row[4], row[-1]) for row in found) == [(m, "message", b"0123456789") for m in range(32)]
+    assert len(handle.written) <= 320 // 64 + 1 and not processor.pieces and not processor.waiting
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_ids_wait_in_chunks_and_leave_in_order(seed):
+    """Rows of several calls overlap in time and repeat moments; the watermark cuts chunks."""
+    rnd, handle, processor = random.Random(seed), Handle(), IdWatcher(10**12, 5, 10)
+    processor.init(handle)
+    taken = []
+    processor.take = lambda us, row: taken.append((us, row.seq, row.msg_id))
+    rows, watermark, arrived = [], 0, []
+    for call in range(6):
+        batch = [(1000 * watermark + 1 + rnd.randrange(40_000), rnd.randrange(3), 1000 * call + n) for n in range(150)]
+        arrived += batch
+        given = [Row("msg_id", "seq", "us")(msg_id, seq, us) for us, seq, msg_id in batch]
+        assert not list(processor.handleInputRows(("udp", "h", 1), iter(given), Clock(watermark)))
+        watermark += 15
+        list(processor.handleExpiredTimer(("udp", "h", 1), Clock(watermark), None))
+        rows = sorted((row for row in arrived if row[0] <= 1000 * watermark), key=lambda row: row[:2])
+        assert taken == rows
+    assert rows and len(handle.written) < len(arrived) / 8
+
+
+def test_micro_batches_are_computed_once_and_in_parallel(spark, ids_of):
+    """Rows come from one pass over their source, and no micro-batch is written by a single task."""
+    from catalog.stream_queries import out_of_order
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    ids = ids_of([(n % 7, n, 1_000_000 * n) for n in range(400)]).repartition(4)
+    rows = ids.mapInArrow(counted, ids.schema)
+    stream = out_of_order(spark, rows, "once", 100_000_000)
+    assert passes.value <= 2 * 400  # the earliest moment, and the rows
+    found = run_available(stream.select("seq", F.input_file_name().alias("file")), "seen")
+    assert sorted(row.seq for row in found.collect()) == list(range(400))
+    assert found.select("file").distinct().count() > 5
+
+
 def _shuffled(rows, path, batches, seed):
     """Files in the order of reading; a row may be in any."""
     import time

@@ -2,15 +2,18 @@
 
 Rows wait in the state, keyed by their moment, until the watermark has passed them; then a
 timer hands them on in order. Nothing earlier can follow, so results are those of a batch.
-State is kept entry by entry: an arrival writes its own row once, a reassembled piece is one
-more entry, and neither is written again while others come. Needs the RocksDB state store
-(``state_store(spark)`` sets it).
+Arrivals are written once, in chunks of at most 64 rows; a chunk that the watermark cuts goes
+back without the rows taken. A piece of a message that is not whole then is one more entry,
+never written again while others come. Needs the RocksDB state store (``state_store(spark)`` sets it).
 """
 
 from __future__ import annotations
 
 import sys
+from collections import namedtuple
 from collections.abc import Iterator, MutableMapping
+from heapq import heappop, heappush
+from operator import itemgetter
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -32,10 +35,14 @@ from wirelog.schemas import (
     SENDER,
 )
 from wirelog.session import duration_us
+from wirelog.streaming.defrag import id_group
 from wirelog.streaming.holes import NAMES as HOLE_NAMES
 from wirelog.streaming.holes import OUTPUT as HOLE_OUTPUT
 
-PLACE = "us bigint, seq bigint, nth int"
+PLACE = "us bigint, seq bigint, nth bigint"
+MOMENT = itemgetter(0, 1)
+CHUNK_ROWS, CHUNK_BYTES = 64, 1 << 16
+RUN_ROWS, RUN_BYTES = 1 << 13, 1 << 24  # sorted at once, in memory
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -50,7 +57,8 @@ def _ceil_ms(us: int) -> int:
 class InOrder(StatefulProcessor):
     """Holds rows back until the watermark has passed them; ``take`` gets them in order.
 
-    Rows of one moment are told apart by a number in their place, so repeats are kept.
+    Every access to the state is a message to the JVM, so rows wait in chunks of neighbouring
+    moments. Chunks are numbered as they arrive, which orders rows of one moment and keeps repeats.
     """
 
     def __init__(self, columns: str, output: list[str]):
@@ -58,32 +66,68 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", PLACE, self.columns)
+        self.row = namedtuple("Waiting", ["us", "seq", *self.names])
+        self.waiting = handle.getMapState("waiting", PLACE, f"rows array<struct<us bigint, seq bigint, {self.columns}>>")
         self.prepare(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark, moments = timerValues.getCurrentWatermarkInMs(), set()
+        watermark, run, first, pick = timerValues.getCurrentWatermarkInMs(), [], None, None
+        number = 1 + max((place[2] for place in self.waiting.keys()), default=-1)
+        size = 0
         for row in rows:
-            place = (row.us, row.seq, 0)
-            while self.waiting.containsKey(place):
-                place = (*place[:2], place[2] + 1)
-            self.waiting.updateValue(place, tuple(row[name] for name in self.names))
-            moments.add(_ceil_ms(row.us))
-        if moments:
-            self.handle.registerTimer(max(min(moments), watermark + 1))
+            pick = pick or itemgetter(*[row.__fields__.index(name) for name in self.row._fields])
+            run.append(pick(tuple(row)))
+            size += self.weight(run[-1])
+            first = run[-1][0] if first is None else min(first, run[-1][0])
+            if len(run) == RUN_ROWS or size >= RUN_BYTES:
+                number, run, size = self._keep(run, number), [], 0
+        if run:
+            self._keep(run, number)
+        if first is not None:
+            self.handle.registerTimer(max(_ceil_ms(first), watermark + 1))
         yield from ()
 
+    def _keep(self, run: list, number: int) -> int:
+        """Store rows as chunks in the order of their moments; returns the next chunk's number."""
+        chunk, size = [], 0
+        for row in sorted(run, key=MOMENT):
+            if len(chunk) == CHUNK_ROWS or size >= CHUNK_BYTES:
+                self.waiting.updateValue((*chunk[0][:2], number), (chunk,))
+                number, chunk, size = number + 1, [], 0
+            chunk.append(row)
+            size += self.weight(row)
+        self.waiting.updateValue((*chunk[0][:2], number), (chunk,))
+        return number + 1
+
+    def _due(self, places: list, until_us: int, left: list) -> Iterator[tuple]:
+        """Rows up to a moment from chunks in order, merged; what is later goes back, its moment to ``left``."""
+        heap: list = []
+        for place in places:
+            while heap and heap[0][:2] < place[:2]:
+                yield heappop(heap)[-1]
+            rows = [tuple(row) for row in self.waiting.getValue(place)[0]]
+            self.waiting.removeKey(place)
+            passed = [row for row in rows if row[0] <= until_us]
+            for nth, row in enumerate(passed):
+                heappush(heap, (*row[:2], place[2], nth, row))
+            rest = rows[len(passed) :]
+            if rest:
+                self.waiting.updateValue((*rest[0][:2], place[2]), (rest,))
+                left.append(rest[0][0])
+        while heap:
+            yield heappop(heap)[-1]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         found: list = []
         waiting = sorted(tuple(place) for place in self.waiting.keys())
         due = [place for place in waiting if place[0] <= 1000 * watermark]
+        left = [place[0] for place in waiting[len(due) :][:1]]
         self.resume(key, found)
-        for place in due:
-            self.take(place[0], Row(*self.names)(*self.waiting.getValue(place)))
-            self.waiting.removeKey(place)
+        for row in self._due(due, 1000 * watermark, left):
+            self.take(row[0], self.row(*row))
         wake = self.settle(1000 * watermark)
-        later = [_ceil_ms(place[0]) for place in waiting[len(due) :][:1]] + ([] if wake is None else [_ceil_ms(wake)])
+        later = [_ceil_ms(us) for us in left] + ([] if wake is None else [_ceil_ms(wake)])
         if later:
             self.handle.registerTimer(max(min(later), watermark + 1))
         yield from map(lambda row: Row(*self.output)(*row), found)
@@ -91,105 +135,130 @@ class InOrder(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def weight(self, row: tuple) -> int:
+        """Bytes of a row that are not its fixed columns."""
+        return 0
+
     @property
     def names(self) -> list[str]:
         return [column.split()[0] for column in self.columns.split(", ")]
 
 
 class StoredPieces(MutableMapping):
-    """Payloads by index in a map state; only ``held``, their number, is known without a look."""
+    """Payloads of one message by index. New ones stay in memory until ``store`` puts them into the map
+    state; of those there only ``stored``, their number, is known without a look."""
 
-    def __init__(self, state, held: int):
-        self.state, self.held = state, held
+    def __init__(self, state, msg_id: int, stored: int):
+        self.state, self.msg_id, self.stored, self.held, self.new = state, msg_id, stored, stored, {}
 
     def __setitem__(self, index: int, payload: bytes) -> None:
-        self.held += not self.state.containsKey((index,))
-        self.state.updateValue((index,), (payload,))
+        self.held += index not in self
+        self.new[index] = payload
 
     def __getitem__(self, index: int) -> bytes:
-        return bytes(self.state.getValue((index,))[0])
+        return self.new[index] if index in self.new else bytes(self.state.getValue((self.msg_id, index))[0])
 
     def __delitem__(self, index: int) -> None:
-        self.state.removeKey((index,))
-        self.held -= 1
+        self.held -= index in self
+        self.new.pop(index, None)
+        if self.stored and self.state.containsKey((self.msg_id, index)):
+            self.state.removeKey((self.msg_id, index))
+            self.stored -= 1
 
     def __contains__(self, index) -> bool:
-        return self.state.containsKey((index,))
+        return index in self.new or (self.stored > 0 and self.state.containsKey((self.msg_id, index)))
 
     def __iter__(self):
-        return iter([key[0] for key in self.state.keys()])
+        return iter({*self.new, *self._stored_indices()})
 
     def __len__(self) -> int:
         return self.held
 
+    def _stored_indices(self) -> list[int]:
+        return [key[1] for key in self.state.keys() if key[0] == self.msg_id] if self.stored else []
+
+    def store(self) -> None:
+        for index, payload in self.new.items():
+            self.state.updateValue((self.msg_id, index), (payload,))
+        self.stored, self.new = self.held, {}
+
+    def forget(self) -> None:
+        for index in self._stored_indices():
+            self.state.removeKey((self.msg_id, index))
+        self.stored, self.held, self.new = 0, 0, {}
+
 
 class Reassembler(InOrder):
-    """Fragments of one message id: a small header, and one entry per piece."""
+    """Fragments of neighbouring message ids: one row of small headers, and an entry per piece of a message
+    that is not whole when the rows of a watermark have been taken."""
 
     HEADER = (
-        "count int, size int, hash int, length int, first_us bigint, last_us bigint, "
-        "tags array<string>, done boolean, held int"
+        "messages array<struct<msg_id int, count int, size int, hash int, length int, first_us bigint, "
+        "last_us bigint, tags array<string>, done boolean, held int>>"
     )
 
     def __init__(self, expire_us: int):
         sender = "listener string, sender_host string, sender_port int, msg_id int"
         header = ", ".join(f"{name} int" for name in HEADER_FIELDS if name != "msg_id")
-        super().__init__(f"{sender}, {header}, tags array<string>, payload binary, us bigint", NAMES)
+        super().__init__(f"{sender}, {header}, tags array<string>, payload binary", NAMES)
         self.expire_us = expire_us
 
     def prepare(self, handle) -> None:
         self.header = handle.getValueState("header", self.HEADER)
-        self.pieces = handle.getMapState("pieces", "index int", "payload binary")
+        self.pieces = handle.getMapState("pieces", "msg_id int, index int", "payload binary")
+
+    def weight(self, row: tuple) -> int:
+        return len(row[-1] or b"")
 
     def resume(self, key, found: list) -> None:
-        self.found, self.message, self.sender = found, None, None
-        if self.header.exists():
-            *fields, tags, done, held = self.header.get()
+        self.key, self.found, self.senders, self.messages = key, found, {}, {}
+        self.changed, self.kept = False, self.header.exists()
+        for msg_id, *fields, tags, done, held in self.header.get()[0] if self.kept else ():
             tags = None if tags is None else list(tags)
-            self.message = PartialMessage(*fields, tags, done, StoredPieces(self.pieces, held))
-        self.key = key
-
-    def _forget(self) -> None:
-        self.header.clear()
-        self.pieces.clear()
+            self.messages[msg_id] = PartialMessage(*fields, tags, done, StoredPieces(self.pieces, msg_id, held))
 
-    def _end(self) -> None:
-        if not self.message.done:
-            sender, msg_id = self._identity()
-            self.found.append(outcome(sender, msg_id, "incomplete", self.message.last_us, self.message))
-        self.message = None
-        self._forget()
+    def _end(self, msg_id: int) -> None:
+        message, self.changed = self.messages.pop(msg_id), True
+        if not message.done:
+            pieces, message.pieces = message.pieces, dict.fromkeys(message.pieces)
+            self.found.append(outcome(self._sender(msg_id), msg_id, "incomplete", message.last_us, message))
+            pieces.forget()
 
-    def _identity(self) -> tuple:
+    def _sender(self, msg_id: int) -> tuple:
         """Of the latest fragment; of the key, where nothing new came (a host that is not in the key is unknown)."""
-        if self.sender is not None:
-            return self.sender
+        if msg_id in self.senders:
+            return self.senders[msg_id]
         known = self.key.asDict() if hasattr(self.key, "asDict") else dict(zip(self.key_names, self.key))
-        return tuple(known.get(name) for name in SENDER), known["msg_id"]
-
-    def take(self, us: int, fragment: Row) -> None:
-        if self.message is not None and us - self.message.last_us >= self.expire_us:
-            self._end()
-        self.sender = tuple(fragment[name] for name in SENDER), fragment.msg_id
-        if self.message is None:
-            self.message = PartialMessage.opened_by(fragment)
-            self.message.pieces = StoredPieces(self.pieces, 0)
-        message, verdict = self.message, self.message.ingest(fragment)
+        return tuple(known.get(name) for name in SENDER)
+
+    def take(self, us: int, fragment) -> None:
+        msg_id, self.changed = fragment.msg_id, True
+        if msg_id in self.messages and us - self.messages[msg_id].last_us >= self.expire_us:
+            self._end(msg_id)
+        self.senders[msg_id] = sender = tuple(getattr(fragment, name) for name in SENDER)
+        if msg_id not in self.messages:
+            self.messages[msg_id] = PartialMessage.opened_by(fragment)
+            self.messages[msg_id].pieces = StoredPieces(self.pieces, msg_id, 0)
+        message = self.messages[msg_id]
+        verdict = message.ingest(fragment)
         if verdict == "complete":
-            self.found.append(outcome(*self.sender, "message", us, message, whole=True))
-            self.pieces.clear()
+            self.found.append(outcome(sender, msg_id, "message", us, message, whole=True))
+            message.pieces.forget()
         elif verdict != "stored":
-            self.found.append(outcome(*self.sender, verdict, us, message, fragment.fragment_index))
+            self.found.append(outcome(sender, msg_id, verdict, us, message, fragment.fragment_index))
 
     def settle(self, watermark_us: int) -> int | None:
-        if self.message is not None and watermark_us - self.message.last_us >= self.expire_us:
-            self._end()
-        if self.message is None:
-            return None
-        m = self.message
-        held = 0 if m.done else len(m.pieces)
-        self.header.update((m.count, m.size, m.hash, m.length, m.first_us, m.last_us, m.tags, m.done, held))
-        return m.last_us + self.expire_us
+        for msg_id in [m for m, message in self.messages.items() if watermark_us - message.last_us >= self.expire_us]:
+            self._end(msg_id)
+        if self.changed and self.messages:
+            rows = []
+            for msg_id, m in self.messages.items():
+                m.pieces.store()
+                rows.append((msg_id, m.count, m.size, m.hash, m.length, m.first_us, m.last_us, m.tags, m.done, len(m.pieces)))
+            self.header.update((rows,))
+        elif self.changed and self.kept:
+            self.header.clear()
+        return min((m.last_us + self.expire_us for m in self.messages.values()), default=None)
 
 
 class IdWatcher(InOrder):
@@ -255,11 +324,11 @@ def defragment_in_order(
     fragment that causes it. ``identity`` as in ``message_key``: with ``port_only`` fragments of
     all hosts of a port meet, and an outcome names the host of its latest fragment, or none at expiry.
     """
-    key = message_key(identity)
+    key = ["id_group", *[name for name in message_key(identity) if name != "msg_id"]]
     processor = Reassembler(duration_us(expire))
     processor.key_names = key
     several = fragments.where(F.col("fragment_count") > 1).withWatermark("ts", watermark_delay)
-    rows = several.withColumn("us", F.unix_micros("ts")).select(*processor.names, "seq", "ts")
+    rows = several.select(*processor.names, id_group(), F.unix_micros("ts").alias("us"), "seq", "ts")
     return rows.groupBy(*key).transformWithState(processor, _typed(NAMES, OUTCOME), "append", "eventTime")
 
 
