@@ -123,10 +123,10 @@ def test_ids_wait_in_chunks_and_leave_in_order(seed):
     for call in range(6):
         batch = [(1000 * watermark + 1 + rnd.randrange(40_000), rnd.randrange(3), 1000 * call + n) for n in range(150)]
         arrived += batch
-        given = [Row("msg_id", "seq", "us")(msg_id, seq, us) for us, seq, msg_id in batch]
-        assert not list(processor.handleInputRows(("udp", "h", 1), iter(given), Clock(watermark)))
+        given = [Row("msg_id", "seq", "us", "sender_port")(msg_id, seq, us, msg_id % 32) for us, seq, msg_id in batch]
+        assert not list(processor.handleInputRows(("udp", "h", 0), iter(given), Clock(watermark)))
         watermark += 15
-        list(processor.handleExpiredTimer(("udp", "h", 1), Clock(watermark), None))
+        list(processor.handleExpiredTimer(("udp", "h", 0), Clock(watermark), None))
         rows = sorted((row for row in arrived if row[0] <= 1000 * watermark), key=lambda row: row[:2])
         assert taken == rows
     assert rows and len(handle.written) < len(arrived) / 8

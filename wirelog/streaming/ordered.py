@@ -41,6 +41,7 @@ from wirelog.streaming.holes import OUTPUT as HOLE_OUTPUT
 
 PLACE = "us bigint, seq bigint, nth bigint"
 MOMENT = itemgetter(0, 1)
+PORTS_PER_GROUP = 32
 CHUNK_ROWS, CHUNK_BYTES = 64, 1 << 16
 RUN_ROWS, RUN_BYTES = 1 << 13, 1 << 24  # sorted at once, in memory
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,13 +66,14 @@ class InOrder(StatefulProcessor):
         self.columns, self.output = columns, output
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.handle, self.settled = handle, {}
         self.row = namedtuple("Waiting", ["us", "seq", *self.names])
         self.waiting = handle.getMapState("waiting", PLACE, f"rows array<struct<us bigint, seq bigint, {self.columns}>>")
         self.prepare(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark, run, first, pick = timerValues.getCurrentWatermarkInMs(), [], None, None
+        self.settled.pop(tuple(key), None)
         number = 1 + max((place[2] for place in self.waiting.keys()), default=-1)
         size = 0
         for row in rows:
@@ -119,6 +121,9 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
+        if self.settled.get(tuple(key)) == watermark:  # another timer of the key has done it all
+            return
+        self.settled[tuple(key)] = watermark
         found: list = []
         waiting = sorted(tuple(place) for place in self.waiting.keys())
         due = [place for place in waiting if place[0] <= 1000 * watermark]
@@ -262,48 +267,50 @@ class Reassembler(InOrder):
 
 
 class IdWatcher(InOrder):
-    """Ids of one sender, and the memory of the online hole detector."""
+    """Ids of senders with neighbouring ports, and the memory of the online hole detector for each."""
 
-    MEMORY = "lo bigint, hi bigint, recent array<bigint>, epoch int, last_us bigint"
+    MEMORY = (
+        "senders array<struct<sender_port int, lo bigint, hi bigint, recent array<bigint>, epoch int, last_us bigint>>"
+    )
 
     def __init__(self, idle_us: int, capacity: int, max_hole: int):
-        super().__init__("msg_id bigint", HOLE_NAMES)
+        super().__init__("sender_port int, msg_id bigint", HOLE_NAMES)
         self.idle_us, self.capacity, self.max_hole = idle_us, capacity, max_hole
 
     def prepare(self, handle) -> None:
         self.stored = handle.getValueState("memory", self.MEMORY)
 
     def resume(self, key, found: list) -> None:
-        self.key, self.found, self.memory, self.last_us = tuple(key), found, None, None
-        if self.stored.exists():
-            lo, hi, recent, epoch, self.last_us = self.stored.get()
-            self.memory = IdMemory(lo, hi, list(recent), epoch)
-
-    def _end(self) -> None:
-        holes = remaining_holes(self.memory, self.max_hole)
+        self.host, self.found, self.memories, self.last_us = tuple(key)[:2], found, {}, {}
+        self.changed, self.kept = False, self.stored.exists()
+        for port, lo, hi, recent, epoch, last_us in self.stored.get()[0] if self.kept else ():
+            self.memories[port], self.last_us[port] = IdMemory(lo, hi, list(recent), epoch), last_us
+
+    def _end(self, port: int) -> None:
+        memory, last_us, self.changed = self.memories.pop(port), self.last_us.pop(port), True
+        holes = remaining_holes(memory, self.max_hole)
         if holes:
-            self.found.append([*self.key, None, self.last_us, "lease_end", self.memory.epoch, holes])
-        self.memory = None
-        self.stored.clear()
-
-    def take(self, us: int, row: Row) -> None:
-        if self.memory is not None and us - self.last_us >= self.idle_us:
-            self._end()
-        if self.memory is None:
-            self.memory = IdMemory()
-        holes = observe(self.memory, row.msg_id, self.capacity, self.max_hole)
-        self.last_us = us
+            self.found.append([*self.host, port, None, last_us, "lease_end", memory.epoch, holes])
+
+    def take(self, us: int, row) -> None:
+        port, self.changed = row.sender_port, True
+        if port in self.memories and us - self.last_us[port] >= self.idle_us:
+            self._end(port)
+        memory = self.memories.setdefault(port, IdMemory())
+        holes = observe(memory, row.msg_id, self.capacity, self.max_hole)
+        self.last_us[port] = us
         if holes:
-            self.found.append([*self.key, row.msg_id, us, "arrival", self.memory.epoch, holes])
+            self.found.append([*self.host, port, row.msg_id, us, "arrival", memory.epoch, holes])
 
     def settle(self, watermark_us: int) -> int | None:
-        if self.memory is not None and watermark_us - self.last_us >= self.idle_us:
-            self._end()
-        if self.memory is None:
-            return None
-        m = self.memory
-        self.stored.update((m.lo, m.hi, m.recent, m.epoch, self.last_us))
-        return self.last_us + self.idle_us
+        for port in [port for port, last_us in self.last_us.items() if watermark_us - last_us >= self.idle_us]:
+            self._end(port)
+        if self.changed and self.memories:
+            rows = [(port, m.lo, m.hi, m.recent, m.epoch, self.last_us[port]) for port, m in self.memories.items()]
+            self.stored.update((rows,))
+        elif self.changed and self.kept:
+            self.stored.clear()
+        return min((last_us + self.idle_us for last_us in self.last_us.values()), default=None)
 
 
 def _typed(names: list[str], ddl: str) -> StructType:
@@ -343,11 +350,12 @@ def holes_in_order(
     if max_hole < 1 or ids_per_port < 1:
         raise ValueError("max_hole and ids_per_port must be positive")
     processor = IdWatcher(duration_us(idle), ids_per_port, max_hole)
+    ports = F.floor(F.col("sender_port") / PORTS_PER_GROUP).cast("int").alias("port_group")
     rows = ids.withWatermark("ts", watermark_delay).select(
-        *SENDER, F.col("msg_id").cast("bigint").alias("msg_id"), "ts", "seq", F.unix_micros("ts").alias("us")
+        *SENDER, ports, F.col("msg_id").cast("bigint").alias("msg_id"), "ts", "seq", F.unix_micros("ts").alias("us")
     )
     schema = _typed(HOLE_NAMES, HOLE_OUTPUT)
-    return rows.groupBy(*SENDER).transformWithState(processor, schema, "append", "eventTime")
+    return rows.groupBy("listener", "sender_host", "port_group").transformWithState(processor, schema, "append", "eventTime")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
