@@ -18,6 +18,7 @@ from wirelog.operators.defrag import (
     verify_checksum,
     with_checksum,
 )
+from wirelog.session import scratch_path
 
 LOST = "(doc_id * 31 + i) % 97 = 0"
 
@@ -254,7 +255,11 @@ def _both_paths(spark, sf_dir, min_rows):
     )
     late = (F.unix_micros("ts") - X.BASE_US) == F.col("doc_id") * 1000000 + 1000000
     twice = packets.where(late & (F.col("doc_id") % 2 == 0) & (F.col("fragment_index") == 0) & (F.col("doc_id") % 31 == 0))
-    _, fragments = split_single_multi(valid_fragments(packets.unionByName(twice)))
+    _, parsed = split_single_multi(valid_fragments(packets.unionByName(twice)))
+    # Parsed once: the search for crowded keys and each output read it again.
+    path = scratch_path(spark, "fragments")
+    parsed.write.parquet(path)
+    fragments = spark.read.schema(parsed.schema).parquet(path)
     hot = None if min_rows is None else find_hot_keys(fragments, min_rows)
     result = defragment(fragments, hot_keys=hot, singles=False)
     messages = result.generations.where(is_complete()).select(

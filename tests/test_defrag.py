@@ -228,3 +228,26 @@ def test_one_exchange(spark, packets_of):
     fragments = valid_fragments(packets_of(_random_rows(6, rows=5)))
     plan = defragment(fragments).messages._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2
+
+
+def test_many_hot_keys_are_computed_once(spark, packets_of, monkeypatch):
+    """Keys too many to broadcast are kept, however many parts and outputs read them."""
+    from wirelog.operators import defrag
+
+    monkeypatch.setattr(defrag, "BROADCAST_KEYS", 2)
+    fragments = valid_fragments(packets_of(_random_rows(5, rows=120)))
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    keys = defrag.find_hot_keys(fragments, 0)
+    number = keys.count()
+    result = defrag.defragment(fragments, hot_keys=keys.coalesce(1).mapInArrow(counted, keys.schema))
+    after = computed.value
+    assert after <= 2 * number and number > 2  # a look at how many they are, and the keys themselves
+    assert result.generations.count() == defrag.defragment(fragments).generations.count()
+    assert result.late_duplicates.count() == defrag.defragment(fragments).late_duplicates.count()
+    assert computed.value == after

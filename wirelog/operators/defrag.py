@@ -25,6 +25,7 @@ from wirelog.operators.fragment_status import (
 )
 from wirelog.operators.joins import join_on
 from wirelog.schemas import DEFAULT_EXPIRE
+from wirelog.session import cut_lineage
 
 def assemble(staged: DataFrame, key: list[str] | None = None, payload: bool = True) -> DataFrame:
     """One row per generation from fragments with status; no exchange after the windows."""
@@ -144,7 +145,7 @@ def _sized(hot_keys: DataFrame) -> DataFrame | None:
     if not few:
         return None
     if len(few) > BROADCAST_KEYS:
-        return hot_keys
+        return cut_lineage(hot_keys)
     return F.broadcast(hot_keys.sparkSession.createDataFrame(few, hot_keys.schema))
 
 
