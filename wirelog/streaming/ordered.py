@@ -2,7 +2,7 @@
 
 Rows wait in the state, keyed by their moment, until the watermark has passed them; then a
 timer hands them on in order. Nothing earlier can follow, so results are those of a batch.
-Arrivals are written once, in chunks of at most 64 rows; a chunk that the watermark cuts goes
+Arrivals are written in chunks of at most 64 rows; a chunk that the watermark cuts goes
 back without the rows taken. A piece of a message that is not whole then is one more entry,
 never written again while others come. Needs the RocksDB state store (``state_store(spark)`` sets it).
 """
