@@ -103,3 +103,15 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert {r.word: r.n for r in slipped.collect()} == words_by_hand([(r[0], r[1]) for r in rows * 2], slip=1)
     with pytest.raises(ValueError):
         group_variants(spark.createDataFrame([], "word string, n long"), ratio=1)
+
+
+def test_no_table_is_broadcast(spark, tmp_path):
+    """Stored words look small to Spark, and eighteen rows come of each: none may go to the driver."""
+    words = {"abcde": 100, "abcdf": 40, "abcdff": 20, "abcdfff": 10, "xbcde": 50, "zzzzz": 7}
+    spark.createDataFrame(list(words.items()), "word string, n long").write.parquet(str(tmp_path / "words"))
+    stored = spark.read.parquet(str(tmp_path / "words"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        assert set(rows_of(group_variants(stored))) == expected(words)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

@@ -84,6 +84,15 @@ def count_words(
     return counted.where((F.char_length("word") >= shortest) & (F.col("n") >= rarest))
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """``table``, as the right side of a join that sorts both.
+
+    Spark sizes a table of words by its compressed files, and does not count the rows that an
+    explode adds: left to choose, it would broadcast millions of rows as a few megabytes.
+    """
+    return table.hint("merge")
+
+
 def _dealt(words: DataFrame) -> DataFrame:
     """The letters of each word, sorted and cut into parts: arrays ``replaced`` and ``inserted``."""
 
@@ -132,7 +141,7 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     dealt = _dealt(words)
     left, right = _signed(dealt, "a", 0), _signed(dealt, "b", 1)
-    met = left.join(right, "signature").where(
+    met = left.join(_merged(right), "signature").where(
         (F.char_length("a") + 1 == F.char_length("b"))
         | ((F.char_length("a") == F.char_length("b")) & (F.col("a") < F.col("b")))
     )
@@ -162,7 +171,7 @@ def group_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     )
     frequent = -F.col("best.less") >= ratio * F.col("n")
     rated = scratch.store(
-        words.join(best, "word", "left").select(
+        words.join(_merged(best), "word", "left").select(
             "word",
             "n",
             F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -175,7 +184,7 @@ def group_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     while True:
         onward = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
         further = scratch.store(
-            steps.join(onward, "root", "left").select(
+            steps.join(_merged(onward), "root", "left").select(
                 "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
             ),
             "steps",
@@ -185,7 +194,7 @@ def group_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
         steps._scratch_path = further._scratch_path
         if further.where("moved").isEmpty():
             break
-    return rated.join(steps, "word", "left").select(
+    return rated.join(_merged(steps), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
 
